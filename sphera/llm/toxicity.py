@@ -108,10 +108,11 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = 12, rate: flo
         return Model(np.zeros(BUCKETS, np.float32), -4.0 if not len(labels) or labels[0] == 0 else 4.0)
     least = 8e-4 * np.sqrt(len(labels))
     feature, weight, first = _bags(texts)
-    keep = np.bincount(feature, minlength=BUCKETS)[feature] > 1
-    first = np.r_[0, np.cumsum(keep)][first]
-    used, feature = np.unique(feature[keep], return_inverse=True)
-    weight = weight[keep]
+    shared = np.bincount(feature, minlength=BUCKETS) > 1
+    used = np.flatnonzero(shared)
+    keep = shared[feature]
+    first = np.r_[0, np.cumsum(keep, dtype=np.int64)][first]
+    feature, weight = (np.cumsum(shared, dtype=np.int32) - 1)[feature[keep]], weight[keep]
     rng = np.random.default_rng(seed)
     emb, total = np.zeros((len(used), DIM), np.float32), np.zeros((len(used), DIM), np.float32)
     square = np.zeros(len(used), np.float32)
@@ -177,7 +178,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train_docs: int) -> li
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_train_docs: int = 4000) -> Model:
     rows = sorted(training_rows(docs, labels, max_train_docs), key=lambda r: (r.doc_id, r.label, r.text or ""))
     return fit([r.text for r in rows], np.array([r.label for r in rows]))
 
