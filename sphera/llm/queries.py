@@ -1,10 +1,13 @@
 """Registry of this subpackage's queries; each applies one operator to its whole table."""
 
-from sphera.llm import toxicity
+from sphera.llm import langid, matroska, mixing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_mixing": mixing.query,
+        "op6_media": matroska.query,
+        "op7_langid": langid.query,
         "op8_toxicity": toxicity.query,
     }
 
