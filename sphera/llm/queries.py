@@ -1,10 +1,11 @@
 """Registry of this subpackage's queries; each applies one operator to its whole table."""
 
-from sphera.llm import langid, matroska, mixing, toxicity
+from sphera.llm import langid, matroska, mixing, simhash, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.query,
         "op3_mixing": mixing.query,
         "op6_media": matroska.query,
         "op7_langid": langid.query,
