@@ -1,11 +1,12 @@
 """Registry of this subpackage's queries; each applies one operator to its whole table."""
 
-from sphera.llm import langid, matroska, mixing, simhash, toxicity
+from sphera.llm import langid, matroska, mixing, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_mixing": mixing.query,
         "op6_media": matroska.query,
         "op7_langid": langid.query,
