@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sphera.llm.kernels import slices, table
 
@@ -234,7 +235,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.array(np.diff(offsets), pa.int32()), pa.array(digests)], names=[*names, "ids", "n_tokens", "decoded_sha256"])
 
-    schema = kept.schema.add("ids", "array<int>").add("n_tokens", "int").add("decoded_sha256", "string")
+    schema = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("decoded_sha256", T.StringType())])
     return kept.mapInArrow(run, schema)
 
 
@@ -254,7 +255,7 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
                 texts = [said[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return kept.mapInArrow(run, kept.schema.add("text", "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField("text", T.StringType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registry of this subpackage's queries; each applies one operator to its whole table."""
 
-from sphera.llm import jaccard_join, langid, matroska, mixing, simhash, suffix_dedup, toxicity
+from sphera.llm import jaccard_join, langid, matroska, mixing, passages, pieces, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op6_media": matroska.query,
         "op7_langid": langid.query,
         "op8_toxicity": toxicity.query,
+        "op9_pieces": pieces.query,
+        "op10_passages": passages.query,
     }
 
 

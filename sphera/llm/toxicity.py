@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sphera.llm.kernels import SLICE_BYTES, id_crc, mix, slices, table
 
@@ -193,7 +194,7 @@ def score(docs: DataFrame, model: Model, column: str = "tox_score") -> DataFrame
         for rows, data, offsets in slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score_slice(held.value, data, offsets))], names=[*names, column])
 
-    schema = kept.schema.add(column, "double")
+    schema = T.StructType([*kept.schema, T.StructField(column, T.DoubleType())])
     return kept.mapInArrow(run, schema)
 
 
