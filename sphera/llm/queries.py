@@ -1,6 +1,6 @@
 """Registry of this subpackage's queries; each applies one operator to its whole table."""
 
-from sphera.llm import jaccard_join, langid, matroska, mixing, passages, pieces, simhash, suffix_dedup, toxicity
+from sphera.llm import html_text, jaccard_join, langid, matroska, mixing, passages, pieces, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -8,6 +8,7 @@ def queries() -> dict:
         "op1_simhash": simhash.query,
         "op2_suffix_dedup": suffix_dedup.query,
         "op3_mixing": mixing.query,
+        "op4_html_text": html_text.query,
         "op5_jaccard_join": jaccard_join.query,
         "op6_media": matroska.query,
         "op7_langid": langid.query,
