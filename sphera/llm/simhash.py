@@ -17,7 +17,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sphera.llm.kernels import table
+from sphera.llm.kernels import cut_lineage, table
 
 SHINGLE = 5
 RADIUS = 3
@@ -113,13 +113,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op1: sizes, digests, fingerprints and likenesses of every document; n_near: other fingerprints within RADIUS bits of its own."""
     n = F.length("text")
     rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next_text, cast(floor(length(text) / 3) as int))")))
-    facts = rows.select("rid", "next_rid", "doc_id", n.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    both = rows.select("rid", F.posexplode(F.array("text", "edited")).alias("which", "body"))
-    voted = vote(terms(both, "body", "__terms").select("rid", "which", F.explode_outer("__terms").alias("term")), ["rid", "which"], "term")
-    pairs = voted.groupBy("rid").agg(*[F.max(F.when(F.col("which") == i, F.col("fingerprint"))).alias(c) for i, c in enumerate(("fp", "edited_fp"))])
-    facts = facts.join(pairs, "rid", "left").fillna(0, ["fp", "edited_fp"])
+    facts = ["rid", "next_rid", "doc_id", "n_chars", "edited_sha256"]
+    rows = rows.withColumns({"n_chars": n.cast("bigint"), "edited_sha256": F.sha2("edited", 256)})
+    both = rows.select(*facts, F.posexplode(F.array("text", "edited")).alias("which", "body"))
+    voted = vote(terms(both, "body", "__terms").select(*facts, "which", F.explode_outer("__terms").alias("term")), [*facts, "which"], "term")
+    pairs = voted.groupBy(*facts).agg(*[F.max(F.when(F.col("which") == i, F.col("fingerprint"))).alias(c) for i, c in enumerate(("fp", "edited_fp"))])
+    # read three times from here on, while the texts are shuffled and hashed once
+    pairs = cut_lineage(pairs.fillna(0, ["fp", "edited_fp"]))
     after = pairs.select(F.col("rid").alias("next_rid"), F.col("fp").alias("next_fp"))
-    facts = facts.join(after, "next_rid", "left").fillna(0, ["next_fp"])
+    facts = pairs.join(after, "next_rid", "left").fillna(0, ["next_fp"])
     links = near(pairs.select(F.col("fp").alias("fingerprint")))
     degree = links.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_near"))
     return facts.join(degree, "fp", "left").select(
