@@ -167,7 +167,7 @@ def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
             anchor, n = np.unique(runs(data, offsets, length)[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"anchor": anchor, "n": n})
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("anchor").bitwiseXOR(F.lit(0)).alias("anchor"))  # a new column: the join deals it out anew, and can then split a hot anchor
 
 
 def _segments(joined: DataFrame, length: int, merge: bool) -> DataFrame:
