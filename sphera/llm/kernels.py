@@ -147,6 +147,14 @@ def id_crc(doc_id: Column | str) -> Column:
     return F.crc32((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder of spark.checkpoint.dir, so that lost executors cost no recomputation beyond it.
 

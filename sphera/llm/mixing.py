@@ -74,13 +74,13 @@ def _earliest_deadline(width: Column, share: Column) -> Column:
 
 
 def pattern(spark, plan: list[dict]) -> DataFrame:
-    """One row a source: key, phases array<struct<first, last, share, width, start, slots>> with the source's slots in one cycle."""
+    """One row a source: __mix_source, __mix_phases array<struct<first, last, share, width, start, slots>> with the source's slots in one cycle."""
     kind = "array<struct<phase:int,cycles:bigint,start:bigint,names:array<string>,share:array<bigint>,first:array<bigint>,width:bigint>>"
     rows = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind)))
     rows = rows.withColumn("order", _earliest_deadline(F.col("width"), F.col("share")))
-    each = rows.select("*", F.posexplode("names").alias("i", "key"))
+    each = rows.select("*", F.posexplode("names").alias("i", "__mix_source"))
     slots = F.filter(F.transform("order", lambda s, at: F.when(s == F.col("i"), at)), lambda x: x.isNotNull())
-    return each.groupBy("key").agg(
+    return each.groupBy("__mix_source").agg(
         F.collect_list(
             F.struct(
                 F.col("first")[F.col("i")].alias("first"),
@@ -90,7 +90,7 @@ def pattern(spark, plan: list[dict]) -> DataFrame:
                 "start",
                 slots.alias("slots"),
             )
-        ).alias("phases")
+        ).alias("__mix_phases")
     )
 
 
@@ -120,9 +120,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     ranked = rows.withColumn("__mix_rank", F.row_number().over(own) - 1).join(starts, ["__mix_key", "__mix_salt"])
     ranked = ranked.withColumn("__mix_rank", F.col("__mix_rank") + F.col("__mix_before"))
     # a row for each source with at most 2 * sources phases of RESOLUTION slots together
-    ranked = ranked.join(F.broadcast(pattern(spark, plan)), F.col("__mix_key") == F.col("key"))
+    ranked = ranked.join(F.broadcast(pattern(spark, plan)), F.col("__mix_key") == F.col("__mix_source"))
     block = F.floor(F.col("__mix_rank") / block_docs)
-    now = F.filter("phases", lambda p: (p["first"] <= F.col("__mix_block")) & (F.col("__mix_block") < p["last"]))[0]
+    now = F.filter("__mix_phases", lambda p: (p["first"] <= F.col("__mix_block")) & (F.col("__mix_block") < p["last"]))[0]
     ranked = ranked.withColumn("__mix_block", block).withColumn("__mix_now", now)
     inside = F.col("__mix_block") - F.col("__mix_now.first")
     share, width = F.col("__mix_now.share"), F.col("__mix_now.width")
