@@ -26,10 +26,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node) for every node of an edge; edges are (a, b) of one orderable type. Loops and repeats don't matter."""
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    # the stars read their edges several times, so what makes them is run once and cut off
+    now = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = cut_lineage(_small_star(cut_lineage(_large_star(now))))
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -8,7 +8,8 @@ filter and the suffix filter (a bound on the difference from 64 part counts of e
 once on the texts.
 
 Equal sets count once. A group of m near copies doesn't make m^2 pairs: in a first round only sets that stand
-next to each other under a shingle (by size) are compared, and the links found give components. In the second,
+next to each other under a shingle (by size) are compared, and each with the shingle's hub, the set with the
+most common shingles; the links found give components. In the second,
 pairs are made only between different components, and the sets of a shingle's main component meet only those outside it. Pairs
 left out are those already in one component, so components are whole.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sphera.llm.components import connected
-from sphera.llm.kernels import as_long, cut_lineage, shingles, slices, table, text_bytes, words
+from sphera.llm.kernels import as_long, cut_lineage, fresh, shingles, slices, table, text_bytes, words
 
 DF_SLOTS = 1 << 20
 _CHUNK = 1 << 14
@@ -158,9 +159,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) ->
     return two.mapInArrow(run, "a long, b long")
 
 
+def _hub_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """Each set of a shingle with the shingle's hub, the set whose shingles are the most common: the text that others vary."""
+    size = shared.groupBy("token").agg(F.count("*").alias("size"))
+    common = shared.select("token", "sid").join(size, "token").groupBy("sid").agg(F.sum("size").alias("common"))
+    hub = shared.join(common, "sid").groupBy("token").agg(F.max(F.struct("common", F.col("sid").alias("hub"), F.col("n").alias("n_hub"), F.col("pos").alias("pos_hub"))).alias("h")).select("token", "h.*")
+    pairs = shared.join(hub, "token").where((F.col("sid") != F.col("hub")) & _may_link(F.col("n"), F.col("pos"), F.col("n_hub"), F.col("pos_hub"), num, den))
+    return pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with `rid`, the row's place in its source, which must read the same twice."""
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+    """rid, doc_id, text: rid is the row's place in its source, which must read the same twice."""
+    return docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
 
 
 def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -179,7 +189,8 @@ def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     near = {f"{c}_before": F.lag(c).over(own) for c in ("sid", "n", "pos")} | {"sid_after": F.lead("sid").over(own)}
     shared = cut_lineage(postings.withColumns(near).where("sid_before is not null or sid_after is not null").drop("sid_after"))
     chain = shared.where(F.col("sid_before").isNotNull() & _may_link(F.col("n"), F.col("pos"), F.col("n_before"), F.col("pos_before"), num, den))
-    chain = chain.select(F.least("sid", "sid_before").alias("a"), F.greatest("sid", "sid_before").alias("b")).distinct()
+    chain = chain.select(F.least("sid", "sid_before").alias("a"), F.greatest("sid", "sid_before").alias("b"))
+    chain = cut_lineage(chain.union(_hub_pairs(shared, num, den)).distinct())
     first = connected(_verified(_suffix_filter(chain, sets, num, den), docs, k, num, den))
     first = first.withColumnRenamed("node", "sid")
     placed = shared.select("token", "sid", "n", "pos").join(first, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -205,9 +216,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of documents that links at a likeness of 0.8 of their five-word shingles connect, the one with the least doc_id stays."""
-    rows = keyed(docs)
-    linked = join(rows, 5, 80, 100)
+    key = fresh(docs, "rid")
+    rows = docs.withColumn(key, F.monotonically_increasing_id())
+    linked = join(rows.select(F.col(key).alias("rid"), "doc_id", "text"), 5, 80, 100)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = linked.where("component is not null").groupBy("component").agg(F.min(order)["rid"].alias("first"))
-    dropped = linked.join(first, "component").where("rid <> first").select("rid")
-    return rows.join(dropped, "rid", "left_anti").select(*docs.columns)
+    dropped = linked.join(first, "component").where("rid <> first").select(F.col("rid").alias(key))
+    return rows.join(dropped, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
