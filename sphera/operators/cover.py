@@ -137,11 +137,11 @@ def cover(region, max_cells: int = 8, min_level: int = 0, max_level: int = MAX_L
         add((face << 61) + (1 << 60))
     while queue and (not interior or len(out) < max_cells):
         (at, _, _), cell, grown = heapq.heappop(queue)
-        if at < min_level or len(grown) == 1 or len(out) + (0 if interior else len(queue)) + len(grown) <= max_cells:
+        if interior or at < min_level or len(grown) == 1 or len(out) + len(queue) + len(grown) <= max_cells:
             for k in grown:
                 if not interior or len(out) < max_cells:
                     add(k)
-        elif not interior:
+        else:
             out.append(cell)
     return canonical(out, min_level, level_mod)
 

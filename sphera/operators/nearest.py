@@ -1,7 +1,7 @@
 """Nearest, furthest and within-distance queries over points, without a cross join.
 
 Targets within a radius are found by cells: each query point's cap is covered by the cells of one
-level that it can reach (the vertex neighbours of a cell at least as wide as the radius), which is an equi-join with the
+level that it can reach (the vertex neighbours of a cell at least twice as wide as the radius), which is an equi-join with the
 targets' ancestors; the exact distance decides. k nearest doubles the radius for those queries that
 have not k targets yet, so that dense places are never searched wide, and ends with all targets at most.
 """
@@ -18,11 +18,13 @@ from sphera.functions.points import Vec, chord2
 
 
 def level_for_radius(radians: float) -> int:
-    """The finest level whose cells are nowhere narrower than the radius; -1 where there is none."""
+    """The finest level whose cells are nowhere narrower than twice the radius; -1 where there is none.
+
+    A point is at least half a cell inside the block of the four cells at its nearest vertex.
+    """
     if radians <= 0:
         return 29
-    at = math.floor(math.log2(cells.MIN_WIDTH.deriv / radians))
-    return max(-1, min(29, at))
+    return max(-1, min(29, math.floor(math.log2(cells.MIN_WIDTH.deriv / (2 * radians)))))
 
 
 def within(queries: DataFrame, targets: DataFrame, radians: float, q: str = "q_", t: str = "t_") -> DataFrame:
