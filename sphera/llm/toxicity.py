@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphera.llm.kernels import SLICE_BYTES, id_crc, mix, slices, table
+from sphera.llm.kernels import fresh, id_crc, mix, slices, table
 
 BUCKETS = 1 << 18
 DIM = 8
+#: Text bytes handled at once: each has four n-grams of several 8-byte numbers.
+SLICE = 1 << 18
 WINDOW = 96
 #: A shorter passage than this counts as so many words, so that one or two words can't make the mean.
 SHORT = 24
@@ -87,7 +89,7 @@ def _bags(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's mean over words of the mean over subwords, sparse: feature, weight, first entry of each text (n+1)."""
     features, weights, first = [], [], [0]
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())})
-    for _, data, offsets in slices(iter([batch]), "text"):
+    for _, data, offsets in slices(iter([batch]), "text", SLICE):
         ids, owner, start = subwords(data, offsets)
         doc = np.repeat(np.arange(len(start) - 1), np.diff(start))
         w = 1.0 / np.bincount(owner, minlength=len(doc))[owner] / np.maximum(SHORT, np.diff(start))[doc[owner]]
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model, column: str = "tox_score") -> DataFrame
     names = kept.columns
 
     def run(batches):
-        for rows, data, offsets in slices(batches, "text", SLICE_BYTES):
+        for rows, data, offsets in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(score_slice(held.value, data, offsets))], names=[*names, column])
 
     schema = T.StructType([*kept.schema, T.StructField(column, T.DoubleType())])
@@ -205,7 +207,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for rows, data, offsets in slices(batches, "text"):
+        for rows, data, offsets in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(score_slice(held.value, data, offsets))], names=["doc_id", "score"])
 
     scored = docs.mapInArrow(run, "doc_id long, score double")
@@ -215,4 +217,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored below 0.7 stay, with their columns."""
     model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, model, "__tox_score").where("__tox_score < 0.7").drop("__tox_score")
+    name = fresh(docs, "tox_score")
+    return score(docs, model, name).where(F.col(name) < 0.7).drop(name)
