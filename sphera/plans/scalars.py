@@ -91,10 +91,10 @@ def angle_normalize(spark, d):
     return customers(spark, d).select("id", r6(lng).alias("lng"), r6(lat).alias("lat"))
 
 
-@query("earth_units", f"WITH {_PAIR}, a AS (SELECT id, {_ANGLE} AS a, lat FROM q) SELECT id, {d_r6('a * 6371010e0')} AS meters, {d_r6('a / 6371.01e0 * 1000')} AS as_angle, {d_r6('a * 6371.01e0 * 6371.01e0')} AS km2, {d_r6('least(2 * pi(), a * 1000 / 6371010e0 / cos(radians(lat)))')} AS lng_span FROM a")
+@query("earth_units", f"WITH {_PAIR}, a AS (SELECT id, {_ANGLE} AS a, lat FROM q) SELECT id, {d_r6('a * 6371010e0 / 1e6')} AS megameters, {d_r6('a / 6371.01e0 * 1000')} AS as_angle, {d_r6('a * 6371.01e0 * 6371.01e0 / 1e6')} AS million_km2, {d_r6('least(2 * pi(), a * 1000 / 6371010e0 / cos(radians(lat)))')} AS lng_span FROM a")
 def earth_units(spark, d):
     a = p.angle(*_two())
-    return pairs(spark, d).select("id", r6(p.angle_to_meters(a)).alias("meters"), r6(p.km_to_angle(a * 1000)).alias("as_angle"), r6(p.steradians_to_km2(a)).alias("km2"), r6(p.meters_to_longitude_radians(a * 1000, F.col("lat"))).alias("lng_span"))
+    return pairs(spark, d).select("id", r6(p.angle_to_meters(a) / 1e6).alias("megameters"), r6(p.km_to_angle(a * 1000)).alias("as_angle"), r6(p.steradians_to_km2(a) / 1e6).alias("million_km2"), r6(p.meters_to_longitude_radians(a * 1000, F.col("lat"))).alias("lng_span"))
 
 
 @query("mercator_project", f"WITH {_C} SELECT id, {d_r6('lng')} AS mx, {d_r6('0.5e0 * ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) * (180 / pi())')} AS my, {d_r6('lat')} AS lat FROM p WHERE abs(lat) < 89")
