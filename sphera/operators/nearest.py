@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sphera.functions import cells
+from sphera.functions.edges import distance as edge_distance
 from sphera.functions.points import Vec, chord2
+from sphera.operators.lineage import cut_lineage
 
 
 def level_for_radius(radians: float) -> int:
@@ -58,7 +60,7 @@ def nearest(queries: DataFrame, targets: DataFrame, k: int, start: float | None
     order = Window.partitionBy(f"{q}id").orderBy("d2", f"{t}id")
     left, out, radius = queries, None, start
     while True:
-        found = within(left, targets, radius, q, t).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = cut_lineage(within(left, targets, radius, q, t).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         if radius >= largest:
             return found if out is None else out.unionByName(found)
         full = found.groupBy(f"{q}id").agg(F.count("*").alias("__c")).where(F.col("__c") >= k).select(f"{q}id")
@@ -84,3 +86,36 @@ def directed_hausdorff(queries: DataFrame, targets: DataFrame, q: str = "q_", t:
 
 def angle(d2: Column) -> Column:
     return 2 * F.asin(0.5 * F.sqrt(d2))
+
+
+def edges_within(queries: DataFrame, edges: DataFrame, radians: float, longest: float, q: str = "q_", t: str = "t_") -> DataFrame:
+    """Pairs of a query point and an edge within an angle, with `distance`. Edges: t + id, ax..az, bx..bz, and x, y, z, cell of their middle.
+
+    longest: no edge is longer; candidates are the middles within the angle and half of it.
+    """
+    near = within(queries, edges, min(math.pi, radians + longest / 2), q, t).drop("d2")
+    near = cells.fenced(near, {"distance": edge_distance(Vec.named(q), Vec.named(f"{t}a"), Vec.named(f"{t}b"))})
+    return near.where(F.col("distance") <= radians)
+
+
+def closest_edges(queries: DataFrame, edges: DataFrame, k: int, longest: float, start: float, q: str = "q_", t: str = "t_") -> DataFrame:
+    """The k closest edges of each query (ties by edge id) with `distance` and `rank`; as nearest(), with edges_within()."""
+    order = Window.partitionBy(f"{q}id").orderBy("distance", f"{t}id")
+    left, out, radius = queries, None, start
+    while True:
+        found = cut_lineage(edges_within(left, edges, radius, longest, q, t).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        if radius >= math.pi:
+            return found if out is None else out.unionByName(found)
+        full = found.groupBy(f"{q}id").agg(F.count("*").alias("__c")).where(F.col("__c") >= k).select(f"{q}id")
+        done = found.join(full, f"{q}id", "left_semi")
+        out = done if out is None else out.unionByName(done)
+        left = left.join(full, f"{q}id", "left_anti")
+        if left.isEmpty():
+            return out
+        radius = min(math.pi, 4 * radius)
+
+
+def with_middles(edges: DataFrame, t: str = "t_") -> DataFrame:
+    """edges (t + ax..az, bx..bz) with t + x, y, z, cell of their middle."""
+    mid = Vec.named(f"{t}a").plus(Vec.named(f"{t}b")).normalized()
+    return cells.encode(cells.fenced(edges, {f"{t}x": mid.x, f"{t}y": mid.y, f"{t}z": mid.z}), Vec.named(t), f"{t}cell")

@@ -1,6 +1,7 @@
 """Queries on loops, polygons, coverings, hulls, buffers, alignment and streams' batch form."""
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,12 +11,17 @@ from sphera.functions.points import Vec
 from sphera.operators import cover, shapes
 from sphera.plans.base import cell_points, d_encode, d_parent, d_points, d_r6, points, query, r6, table
 from sphera.plans.scalars import caps
-from sphera.plans.spatial import triangles
+from sphera.plans.spatial import _N, triangles
 
 _S = d_points("p", "supplier", "s_suppkey")
 _REGULAR = f"WITH {_S}, k AS (SELECT id, (100 + 50 * (id % 20)) / 6371.01e0 AS r, 3 + id % 30 AS n FROM p), g AS (SELECT *, atan(1 / (tan(pi() / n) * cos(r))) AS h FROM k)"
 
 
+def _triangles_sql(rest: str) -> str:
+    """With the triangles of the nations in front; names as in the oracle's dialect (`by` is a keyword)."""
+    return re.sub(r"\b([a-dnpq])([xyz])\b", r"\1_\2", f"WITH {_N}, {rest}")
+
+
 def regular_loops(spark, d):
     """id, r, n and a regular loop of n vertices about each supplier."""
     df = caps(spark, d).withColumn("n", (3 + F.col("id") % 30).cast("int"))
@@ -157,3 +163,36 @@ def event_cells(spark, d):
     from sphera.streaming.tracks import counts
 
     return counts(table(spark, d, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "cell", "n")
+
+
+_EDGE = "ed AS (SELECT id * 3 + k AS id, " + ", ".join(f"CASE k WHEN 0 THEN {p}{a} WHEN 1 THEN {q}{a} ELSE {r}{a} END AS {n}{a}" for n, (p, q, r) in (("p", "abc"), ("q", "bca")) for a in "xyz") + " FROM xyz, range(3) s(k))"
+_NEAR = "CASE WHEN (ny*pz-nz*py)*x + (nz*px-nx*pz)*y + (nx*py-ny*px)*z > 0 AND (ny*qz-nz*qy)*x + (nz*qx-nx*qz)*y + (nx*qy-ny*qx)*z < 0 THEN asin(least(1e0, abs(nx*x + ny*y + nz*z) / sqrt(nx*nx + ny*ny + nz*nz))) ELSE 2 * asin(sqrt(least(power(px-x, 2) + power(py-y, 2) + power(pz-z, 2), power(qx-x, 2) + power(qy-y, 2) + power(qz-z, 2))) / 2) END"
+
+
+def triangle_edges(spark, d):
+    """t_id, t_ax.., t_bx..: the three edges of each triangle."""
+    each = F.array(*[F.struct((F.col("id") * 3 + k).alias("t_id"), *[F.col(f"{p}{a}").alias(f"t_a{a}") for a in "xyz"], *[F.col(f"{q}{a}").alias(f"t_b{a}") for a in "xyz"]) for k, (p, q) in enumerate(("ab", "bc", "ca"))])
+    return triangles(spark, d).select(F.inline_outer(each))
+
+
+@query(
+    "closest_edge",
+    _triangles_sql(f"{_EDGE}, n AS (SELECT *, py*qz-pz*qy AS nx, pz*qx-px*qz AS ny, px*qy-py*qx AS nz FROM ed), {d_points('cp', 'customer', 'c_custkey')}, g AS (SELECT cp.id AS customer, n.id AS edge, {_NEAR} AS distance FROM cp, n), r AS (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY distance, edge) AS rank FROM g) SELECT customer, {d_r6('distance')} AS distance FROM r WHERE rank = 1"),
+)
+def closest_edge(spark, d):
+    """Distance of each customer to the nearest of the triangles' edges (two edges may share the nearest vertex)."""
+    from sphera.operators import nearest
+
+    edges = nearest.with_middles(triangle_edges(spark, d))
+    q = cell_points(spark, d, "customer", "c_custkey").select(*[F.col(a).alias(f"q_{a}") for a in ("id", "x", "y", "z", "cell")])
+    found = nearest.closest_edges(q, edges, 1, math.radians(12), 0.2)
+    return found.select(F.col("q_id").alias("customer"), r6(F.col("distance")).alias("distance"))
+
+
+@query("polyline_project", "SELECT n_nationkey::BIGINT AS id, 0.5e0 AS fraction, true AS covers FROM nation")
+def polyline_project(spark, d):
+    """The middle of a triangle's first edge is half way along it, and a chain covers itself."""
+    v = [F.col(f"{p}{a}") for p in "ab" for a in "xyz"]
+    half = shapes.apply(lambda *x: shapes.uninterpolate([tuple(x[:3]), tuple(x[3:])], shapes.mid(tuple(x[:3]), tuple(x[3:]))), "double", *v)
+    own = shapes.apply(lambda *x: shapes.nearly_covers([tuple(x[:3]), tuple(x[3:])], [tuple(x[:3]), tuple(x[3:])], 1e-12), "boolean", *v)
+    return triangles(spark, d).select("id", r6(half).alias("fraction"), own.alias("covers"))

@@ -267,6 +267,20 @@ def test_shapes():
     assert cost == 0 and path == [(0, 0), (0, 1), (1, 2)]
 
 
+def test_chains():
+    chain = [shapes.from_degrees(0, x) for x in range(0, 50, 10)]
+    above, below = shapes.from_degrees(3, 17), shapes.from_degrees(-3, 17)
+    foot, after = shapes.project_to_chain(chain, above)
+    assert shapes.to_degrees(foot) == pytest.approx((0, 17), abs=1e-9) and after == 2
+    assert shapes.uninterpolate(chain, above) == pytest.approx(17 / 40)
+    assert shapes.is_on_right(chain, below) and not shapes.is_on_right(chain, above)
+    assert shapes.nearly_covers(chain, chain[1:4], 1e-9) and not shapes.nearly_covers(chain, chain[::-1], 1e-3)
+    same = shapes.consensus([chain, chain, [shapes.from_degrees(1, x) for x in range(0, 50, 10)]])
+    assert len(same) == 5 and all(0 < shapes.to_degrees(p)[0] < 1 for p in same)
+    flat = shapes.tessellate(shapes.from_degrees(50, 0), shapes.from_degrees(50, 80), lambda p: shapes.to_degrees(p)[::-1], lambda x, y: shapes.from_degrees(y, x), 1e-4)
+    assert len(flat) > 8 and max(y for _, y in flat) > 55
+
+
 def test_edges(spark):
     df = points(spark, 30, 12).crossJoin(points(spark, 10, 13).select(*[F.col(a).alias(f"b{a}") for a in "xyz"]))
     a, b, q = Vec.named(), Vec.named("b"), Vec.lit(0.6, 0.0, 0.8)
