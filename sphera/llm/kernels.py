@@ -13,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sphera.operators.lineage import cut_lineage
+
+__all__ = ["as_long", "cut_lineage", "fresh", "hash_sums", "id_crc", "mix", "range_hash", "shingles", "slices", "table", "text_bytes", "words"]
+
 SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
@@ -153,17 +157,3 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder of spark.checkpoint.dir, so that lost executors cost no recomputation beyond it.
-
-    The folder is the session's; only where it is unset (tests) a local one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sphera-checkpoint-"))
-    return df.checkpoint(eager=True)
