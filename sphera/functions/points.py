@@ -239,7 +239,7 @@ def ortho(a: Vec) -> Vec:
     x, y, z = F.abs(a.x), F.abs(a.y), F.abs(a.z)
     # the axis before (cyclically) that of the largest component
     axis = F.when((x > y) & (x > z), 2).when((y > z) & ~(x > y), 0).when(y > z, 0).otherwise(1)
-    small = (0.012, 0.0053, 0.00457)
+    small = (0.012, 0.0053, 0.00457)  # fixed values
     temp = Vec(*[F.when(axis == i, 1.0).otherwise(small[i]) for i in range(3)])
     return a.cross(temp).normalized()
 

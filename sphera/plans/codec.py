@@ -98,13 +98,13 @@ _XYZ = (
 )
 #: centres of the part cells: s and t are the middle of the cell's square of leaves
 _CENTERS = (
-    f"{_PARTS}, s1 AS (SELECT id, p_size, cell, face, (1::BIGINT << (30 - {_PART_LEVEL})::BIGINT) AS size, i, j FROM t), "
-    "s2 AS (SELECT *, ((i & (-size)) + size / 2e0) / 1073741824e0 AS s, ((j & (-size)) + size / 2e0) / 1073741824e0 AS tt FROM s1), "
-    f"s3 AS (SELECT *, {_UV('s')} AS u, {_UV('tt')} AS v FROM s2), s4 AS (SELECT *, {_XYZ} FROM s3), s5 AS (SELECT *, sqrt(cx*cx + cy*cy + cz*cz) AS n FROM s4)"
+    f"{_PARTS}, m1 AS (SELECT id, p_size, cell, face, (1::BIGINT << (30 - {_PART_LEVEL})::BIGINT) AS size, i, j FROM t), "
+    "m2 AS (SELECT *, ((i & (-size)) + size / 2e0) / 1073741824e0 AS s, ((j & (-size)) + size / 2e0) / 1073741824e0 AS tt FROM m1), "
+    f"m3 AS (SELECT *, {_UV('s')} AS u, {_UV('tt')} AS v FROM m2), m4 AS (SELECT *, {_XYZ} FROM m3), m5 AS (SELECT *, sqrt(cx*cx + cy*cy + cz*cz) AS n FROM m4)"
 )
 
 
-@query("cell_center_latlng", f"WITH {_CENTERS} SELECT id, {d_r6('degrees(atan2(cz, sqrt(cx*cx + cy*cy)))')} AS lat, {d_r6('degrees(atan2(cy, cx))')} AS lng FROM s5")
+@query("cell_center_latlng", f"WITH {_CENTERS} SELECT id, {d_r6('degrees(atan2(cz, sqrt(cx*cx + cy*cy)))')} AS lat, {d_r6('degrees(atan2(cy, cx))')} AS lng FROM m5")
 def cell_center_latlng(spark, d):
     from sphera.functions.points import latitude, longitude
 
@@ -112,19 +112,19 @@ def cell_center_latlng(spark, d):
     return c.with_center(part_cells(spark, d)).select("id", r6(latitude(p)).alias("lat"), r6(longitude(p)).alias("lng"))
 
 
-@query("cell_center_point", f"WITH {_CENTERS} SELECT id, {d_r6('s')} AS s, {d_r6('tt')} AS t, {d_r6('u')} AS u, {d_r6('v')} AS v, {d_r6('cx / n')} AS x, {d_r6('cy / n')} AS y, {d_r6('cz / n')} AS z FROM s5")
+@query("cell_center_point", f"WITH {_CENTERS} SELECT id, {d_r6('s')} AS s, {d_r6('tt')} AS t, {d_r6('u')} AS u, {d_r6('v')} AS v, {d_r6('cx / n')} AS x, {d_r6('cy / n')} AS y, {d_r6('cz / n')} AS z FROM m5")
 def cell_center_point(spark, d):
     return c.with_center(part_cells(spark, d)).select("id", *[r6(F.col("center")[k]).alias(k) for k in "stuvxyz"])
 
 
-@query("cell_st_bound", f"WITH {_CENTERS} SELECT id, {d_r6('(i & (-size)) / 1073741824e0')} AS s_lo, {d_r6('((i & (-size)) + size) / 1073741824e0')} AS s_hi, {d_r6('(j & (-size)) / 1073741824e0')} AS t_lo, {d_r6('((j & (-size)) + size) / 1073741824e0')} AS t_hi, {d_r6('size / 1073741824e0')} AS size FROM s5")
+@query("cell_st_bound", f"WITH {_CENTERS} SELECT id, {d_r6('(i & (-size)) / 1073741824e0')} AS s_lo, {d_r6('((i & (-size)) + size) / 1073741824e0')} AS s_hi, {d_r6('(j & (-size)) / 1073741824e0')} AS t_lo, {d_r6('((j & (-size)) + size) / 1073741824e0')} AS t_hi, {d_r6('size / 1073741824e0')} AS size FROM m5")
 def cell_st_bound(spark, d):
     df = c.decode(part_cells(spark, d))
     b = c.bound_ij(F.col("i"), F.col("j"), F.col("cell"))
     return df.select("id", *[r6(x / float(c.SIZE)).alias(n) for x, n in zip(b, ("s_lo", "s_hi", "t_lo", "t_hi"), strict=True)], r6(c.size_st(c.level(F.col("cell")))).alias("size"))
 
 
-@query("cell_uv_bound", f"WITH {_CENTERS}, b AS (SELECT id, (i & (-size)) / 1073741824e0 AS a, ((i & (-size)) + size) / 1073741824e0 AS b FROM s5) SELECT id, {d_r6(_UV('a'))} AS u_lo, {d_r6(_UV('b'))} AS u_hi FROM b")
+@query("cell_uv_bound", f"WITH {_CENTERS}, b AS (SELECT id, (i & (-size)) / 1073741824e0 AS a, ((i & (-size)) + size) / 1073741824e0 AS b FROM m5) SELECT id, {d_r6(_UV('a'))} AS u_lo, {d_r6(_UV('b'))} AS u_hi FROM b")
 def cell_uv_bound(spark, d):
     df = c.decode(part_cells(spark, d))
     b = c.bound_ij(F.col("i"), F.col("j"), F.col("cell"))
