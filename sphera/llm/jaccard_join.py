@@ -181,7 +181,7 @@ def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("rid", "doc_id", "text")
-    frequency = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs, k).astype(np.int32))
+    frequency = docs.sparkSession.sparkContext.broadcast(np.minimum(document_frequencies(docs, k), 2**31 - 1).astype(np.int32))
     rows = cut_lineage(_summaries(docs, k))
     sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("rid", "n", "parts")).alias("s")).select("sid", "s.*")
     own = Window.partitionBy("token").orderBy("n", "sid")
