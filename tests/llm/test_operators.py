@@ -377,6 +377,17 @@ def test_passages_found_and_removed(docs, spark, rows):
     assert passages.remove(empty(spark)).count() == 0
 
 
+def test_passages_of_one_pair_far_apart(spark):
+    first, second = prose(40, 150), prose(41, 150)
+    x = f"{first} {prose(42, 60)} {second}"
+    df = spark.createDataFrame([(0, f"{first} {second}"), (1, x)], "rid long, text string").coalesce(1)
+    found = [(r.x_from, r.x_to) for r in passages.passages(df).collect()]
+    assert {w for a, b in found for w in range(a, b)} >= set(range(150)) | set(range(210, 360))
+    px = np.r_[np.arange(0, 100, 4), np.arange(200, 300, 4)]
+    py = np.r_[np.arange(0, 100, 4), np.arange(100, 200, 4)]
+    assert sorted(len(path) for path in passages.chain(px, py)) == [25, 25]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
