@@ -388,6 +388,24 @@ def test_passages_of_one_pair_far_apart(spark):
     assert sorted(len(path) for path in passages.chain(px, py)) == [25, 25]
 
 
+def test_passages_beside_a_stray_match(spark):
+    first, second, phrase = prose(50, 30), prose(51, 30), prose(52, 14)
+    y = f"{prose(53, 20)} {phrase} {prose(54, 40)} {first} {second} {prose(55, 20)}"
+    x = f"{prose(56, 20)} {phrase} {prose(57, 40)} {first} inserted {second} {prose(58, 20)}"
+    # two passages, each with a word in ten changed, 40 words apart
+    lightly = [" ".join("zz" + w if i % 10 == 9 else w for i, w in enumerate(prose(60 + k, 70).split())) for k in (0, 1)]
+    u = f"{prose(60, 70)} {prose(63, 40)} {prose(61, 70)}"
+    v = f"{lightly[0]} {prose(64, 40)} {lightly[1]}"
+    df = spark.createDataFrame([(0, y), (1, x), (2, u), (3, v)], "rid long, text string").coalesce(1)
+    found = {}
+    for r in passages.passages(df).collect():
+        assert r.x_to - r.x_from >= passages.LEAST and r.identity >= passages.IDENTITY
+        found.setdefault(r.x, []).append((r.x_from, r.x_to))
+    assert {w for a, b in found[1] for w in range(a, b)} >= set(range(76, 133))
+    covered = {w for a, b in found[3] for w in range(a, b)}
+    assert len(covered & set(range(70))) >= 60 and len(covered & set(range(110, 180))) >= 60
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
