@@ -406,6 +406,16 @@ def test_passages_beside_a_stray_match(spark):
     assert len(covered & set(range(70))) >= 60 and len(covered & set(range(110, 180))) >= 60
 
 
+def test_passage_whose_parts_have_other_leaders(spark):
+    whole = prose(70, 90)
+    parts = [" ".join(whole.split()[a : a + 36]) for a in (0, 27, 54)]  # every seed stands in one of them
+    others = [f"{prose(80 + k, 30)} {part} {prose(90 + k, 30)}" for k, part in enumerate(parts)]
+    texts = [*others, f"{prose(100, 30)} {whole} {prose(101, 30)}", f"{prose(102, 20)} {whole} {prose(103, 20)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3)
+    found = [r for r in passages.passages(df).collect() if r.x == 4]
+    assert {w for r in found for w in range(r.x_from, r.x_to)} >= set(range(20, 110)) and {r.y for r in found} == {3}
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
