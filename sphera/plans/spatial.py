@@ -411,7 +411,7 @@ def crossing_edges_join(spark, d):
     from sphera.functions.points import from_degrees
     from sphera.plans.base import points
 
-    df = points(spark, d, "orders", "o_orderkey").where((F.abs("lat") < 85) & (F.col("id") < 3000))
+    df = points(spark, d, "orders", "o_orderkey").where(F.abs("lat") < 85)
     far = from_degrees(F.col("lat") + 2, F.col("lng") + 1 + (F.col("id") + 1) % 5)
     df = c.encode(df.withColumns({"bx": far.x, "by": far.y, "bz": far.z}), Vec.named())
     one = df.select(*[F.col(a).alias(f"q_{a}") for a in ("id", "x", "y", "z", "cell", "bx", "by", "bz")])

@@ -315,3 +315,26 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r.event_id: r.cell for r in spark.table("tracks_test").collect()}
     assert got == {r.event_id: r.cell for r in tracks.with_cells(df).collect()}
+
+
+def test_crossing_edges_of_high_ids(spark, tmp_path):
+    from sphera.plans import spatial
+    from sphera.plans.base import points as positions
+
+    spark.createDataFrame([(i,) for i in (*range(100), *range(10230, 10270), *range(14855, 14935))], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = [(r.id, r.lat, r.lng) for r in positions(spark, str(tmp_path), "orders", "o_orderkey").collect() if abs(r.lat) < 85]
+
+    def at(lat, lng):
+        lat, lng = math.radians(lat), math.radians(lng)
+        return (math.cos(lat) * math.cos(lng), math.cos(lat) * math.sin(lng), math.sin(lat))
+
+    def side(a, b, p):
+        return p[0] * (a[1] * b[2] - a[2] * b[1]) + p[1] * (a[2] * b[0] - a[0] * b[2]) + p[2] * (a[0] * b[1] - a[1] * b[0])
+
+    ends = sorted((i, at(lat, lng), at(lat + 2, lng + 1 + (i + 1) % 5)) for i, lat, lng in rows)
+    want = set()
+    for (i, a, b), (j, p, q) in itertools.combinations(ends, 2):
+        if sum((s - t) ** 2 for s, t in zip(a, p, strict=True)) < 0.1 and side(a, b, p) * side(a, b, q) < 0 and side(p, q, a) * side(p, q, b) < 0:
+            want.add((i, j))
+    assert any(j >= 3000 for _, j in want)
+    assert {(r.a, r.b) for r in spatial.crossing_edges_join(spark, str(tmp_path)).collect()} == want
