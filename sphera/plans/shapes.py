@@ -109,14 +109,14 @@ def convex_hull(spark, d):
 
 
 def _tracks(spark, d):
-    df = points(spark, d, "events", "event_id", "user_id", "ts").where("id % 10 = 0")
+    df = points(spark, d, "events", "event_id", "user_id", "ts")
     track = F.array_sort(F.collect_list(F.struct("ts", "id", F.array("x", "y", "z").alias("p"))))
     return df.groupBy("user_id").agg(F.transform(track, lambda s: s["p"]).alias("track"))
 
 
 @query("simplify")
 def simplify(spark, d):
-    """Vertices kept of each user's thinned track at a tolerance of 0.2 radians."""
+    """Vertices kept of each user's track at a tolerance of 0.2 radians."""
     kept = shapes.apply(lambda t: shapes.simplify(t, 0.2), "array<int>", F.col("track"))
     return _tracks(spark, d).select("user_id", F.size("track").alias("n"), kept.alias("kept"))
 
@@ -126,7 +126,7 @@ def dtw_cost(spark, d):
     """Alignment of each user's track with the next user's."""
     df = _tracks(spark, d)
     other = df.select((F.col("user_id") - 1).alias("user_id"), F.col("track").alias("other"))
-    return df.join(other, "user_id").select("user_id", r6(shapes.apply(lambda a, b: shapes.align(a, b)[0], "double", F.col("track"), F.col("other"))).alias("cost"))
+    return df.join(other, "user_id").select("user_id", r6(shapes.apply(lambda a, b: shapes.align_cost(a, b), "double", F.col("track"), F.col("other"))).alias("cost"))
 
 
 @query("cover_cap")

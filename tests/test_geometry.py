@@ -338,3 +338,14 @@ def test_crossing_edges_of_high_ids(spark, tmp_path):
             want.add((i, j))
     assert any(j >= 3000 for _, j in want)
     assert {(r.a, r.b) for r in spatial.crossing_edges_join(spark, str(tmp_path)).collect()} == want
+
+
+def test_tracks_hold_all_events(spark, tmp_path):
+    from sphera.plans import shapes as plans
+
+    spark.createDataFrame([(i, f"2026-01-01 00:{i:02d}:00", i % 2) for i in range(30)], "event_id long, ts string, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    tracks = {r.user_id: [tuple(p) for p in r.track] for r in plans._tracks(spark, str(tmp_path)).collect()}
+    assert {k: len(t) for k, t in tracks.items()} == {0: 15, 1: 15}
+    assert {r.user_id: r.n for r in plans.simplify(spark, str(tmp_path)).collect()} == {0: 15, 1: 15}
+    assert shapes.align_cost(tracks[0], tracks[1]) == pytest.approx(shapes.align(tracks[0], tracks[1])[0])
+    assert [round(shapes.align(tracks[0], tracks[1])[0], 6)] == [pytest.approx(r.cost) for r in plans.dtw_cost(spark, str(tmp_path)).collect()]
