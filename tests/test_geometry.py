@@ -349,3 +349,19 @@ def test_tracks_hold_all_events(spark, tmp_path):
     assert {r.user_id: r.n for r in plans.simplify(spark, str(tmp_path)).collect()} == {0: 15, 1: 15}
     assert shapes.align_cost(tracks[0], tracks[1]) == pytest.approx(shapes.align(tracks[0], tracks[1])[0])
     assert [round(shapes.align(tracks[0], tracks[1])[0], 6)] == [pytest.approx(r.cost) for r in plans.dtw_cost(spark, str(tmp_path)).collect()]
+
+
+def test_ranges_and_denormalizing_of_all_rows(spark, tmp_path):
+    from sphera.plans import spatial
+    from sphera.plans.base import cell_points
+
+    d = str(tmp_path)
+    spark.createDataFrame([(i,) for i in range(200)], "c_custkey long").write.parquet(d + "/customer.parquet")
+    spark.createDataFrame([(i, 1 + i % 50) for i in range(100)], "p_partkey long, p_size int").write.parquet(d + "/part.parquet")
+    ids = {}
+    for r in cell_points(spark, d, "customer", "c_custkey").collect():
+        ids.setdefault(r.id % 10, []).append(unsigned(r.cell))
+    assert max(max(v) for v in ids.values()) >= 1 << 63
+    want = {k: str(max(v) // 2 + 1 - min(v) // 2) for k, v in ids.items()}
+    assert {r.k: r.leaves for r in spatial.cells_from_range(spark, d).collect()} == want
+    assert {r.id for r in spatial.union_denormalize(spark, d).collect()} == set(range(100))
