@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,8 +305,9 @@ def test_toxicity_learns_and_reads_misspellings():
 
     labels = np.array([i % 4 == 0 for i in range(400)], int)
     texts = [make(x) for x in labels]
-    model = toxicity.fit(texts[:300], labels[:300])
-    ask = lambda ts: toxicity.score_slice(model, *kernels.text_bytes(__import__("pyarrow").array(ts, "string")))
+    flat = lambda ts: kernels.text_bytes(pa.array(ts, "string"))
+    model = toxicity.fit(toxicity.gathered([toxicity.words_of(*flat(part)) for part in (texts[:120], texts[120:300])]), labels[:300])
+    ask = lambda ts: toxicity.score_slice(model, *flat(ts))
     got = ask(texts[300:]) >= 0.7
     assert np.mean(got == labels[300:]) > 0.95
     odd = ask([" ".join(r.choices(WORDS, k=20) + ["gruzzlepatedd", "snorkwich", "flubermaw"] * 2), make(False)])
