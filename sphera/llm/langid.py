@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sphera.llm.kernels import id_crc, slices, table
 
@@ -139,28 +140,58 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
+def training_rows(rows: DataFrame, max_train_docs: int) -> DataFrame:
+    """lang, text of the bounded sample: smallest hashes of the id first. The bound is on rows, however often an id stands there."""
+    order = [F.xxhash64("doc_id"), "doc_id", "lang"]
+    ids = rows.select("doc_id", "lang").orderBy(*order).limit(max_train_docs).select("doc_id").distinct()
+    # at most max_train_docs rows of one number
+    found = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id")
+    return found.orderBy(*order, F.xxhash64("text"), "text").limit(max_train_docs).select("lang", "text")
+
+
 def train(learnable: DataFrame, max_train_docs: int = 3000) -> Model:
-    """learnable: text, lang, doc_id of the rows one may learn from (null languages don't count)."""
+    """learnable: text, lang, doc_id of the rows one may learn from (null languages don't count).
+
+    Training runs in one task, which the limit of training_rows gives the whole sample to; the driver gets the weights.
+    """
     rows = learnable.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(rows)
-    ids = rows.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_train_docs)
-    # the sample has at most max_train_docs rows of one number
-    sample = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").select("doc_id", "lang", "text").collect()
-    sample.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    return fit([r.text for r in sample], [r.lang for r in sample], idf)
+
+    def run(batches):
+        sample = [r for batch in batches for r in batch.to_pylist()]
+        model = fit([r["text"] for r in sample], [r["lang"] for r in sample], idf)
+        column, lang = np.nonzero(model.weight)
+        size = len(model.langs)
+        yield pa.RecordBatch.from_pydict({
+            "column": np.r_[np.full(size, BUCKETS), column],
+            "lang": pa.array(model.langs + [model.langs[i] for i in lang], pa.string()),
+            "weight": np.r_[np.full(size, model.temperature), model.weight[column, lang]].astype(float),
+        })
+
+    found = training_rows(rows, max_train_docs).mapInArrow(run, "column long, lang string, weight double").collect()  # BUCKETS + 1 rows a language
+    langs = sorted(r[1] for r in found if r[0] == BUCKETS)
+    place = {lang: i for i, lang in enumerate(langs)}
+    weight, temperature = np.zeros((BUCKETS, len(langs)), np.float32), 1.0
+    for column, lang, value in found:
+        if column == BUCKETS:
+            temperature = value
+        else:
+            weight[column, place[lang]] = value
+    return Model(langs, idf, weight, temperature)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: doc_id, held_out, lang_pred, score of every document."""
+    """op7: doc_id, held_out, lang_pred, score of every document; a null id is in no fold (held_out false) and is not learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = id_crc("doc_id") % 5 == 0
-    model = spark.sparkContext.broadcast(train(docs.where(~held_out)))
+    held_out = F.coalesce(id_crc("doc_id") % 5 == 0, F.lit(False))
+    model = spark.sparkContext.broadcast(train(docs.where(F.col("doc_id").isNotNull() & ~held_out)))
 
     def run(batches):
         for rows, _, _ in slices(batches, "text"):
             langs, scores = predict(model.value, rows.column(1).to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "lang_pred": pa.array(langs, pa.string()), "score": scores})
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    scored = docs.select("doc_id", "text").mapInArrow(run, schema)
     return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
