@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from sphera.llm import labelled_pages
 from sphera.llm.kernels import slices, table
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+#: A tag steps over quoted attribute values, which may hold a ">".
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME = re.compile(r"[a-zA-Z]+")
 #: Elements whose content is not text, and the inline ones; every other tag ends a block.
@@ -74,7 +75,7 @@ def blocks(page: str | None) -> tuple[list[Block], list[int]]:
 
     def flush() -> None:
         nonlocal linked
-        text = " ".join(html.unescape("".join(parts)).split())
+        text = " ".join("".join(parts).split())
         parts.clear()
         if text:
             path = dict.fromkeys(f for _, fs in stack for f in fs)
@@ -89,7 +90,7 @@ def blocks(page: str | None) -> tuple[list[Block], list[int]]:
         if m.start() > at:
             if not parts:
                 begin = at
-            parts.append(page[at : m.start()])
+            parts.append(html.unescape(page[at : m.start()]))  # each by itself: a reference ends where a tag begins
             if in_link:
                 linked += m.start() - at
         at = m.end()
