@@ -5,8 +5,8 @@ crosses. The distinct chunks of a slice are concatenated and indexed by a suffix
 longest piece: by 8 bytes, and those that a longer piece begins with by the rest. Every piece is
 binary-searched for its occurrence range; the ranges give edges (position, length, piece), which go by
 position into a table. Relaxing then takes, chunk by chunk and all chunks at once, the best-scored
-edge over two adjacent symbols, leftmost first, until none is left: the merges of the model. A chunk
-of over `LONG` characters is relaxed with a heap instead, in n log n.
+edge over two adjacent symbols, leftmost first, until none is left: the merges of the model. In a chunk
+of over `LONG` characters a heap finds that edge, in n log n; the edges are those of the same table.
 
 A least-cost path over the edges would be right for unigram models; for the BPE models given here it
 isn't, so relaxing follows the merge order. Characters without a piece fall back to bytes.
@@ -44,7 +44,6 @@ class Vocabulary:
         order = sorted((i for i, k in enumerate(kinds) if k == "normal"), key=lambda i: -scores[i])
         self.rank = np.full(len(pieces), _NONE, np.int64)
         self.rank[order] = np.arange(len(order))
-        self.ids = {pieces[i]: i for i in order}
         self.byte_id = np.zeros(256, np.int32)
         for i, k in enumerate(kinds):
             if k == "byte":
@@ -100,16 +99,16 @@ class Vocabulary:
             put(deep[order], np.searchsorted(text, self.long_low), np.searchsorted(text, self.long_high, "right"), self.longer)
         return out
 
-    def _relax_heap(self, chars: str) -> list[tuple[int, int]]:
-        """Symbols (first, end) of one chunk."""
-        n = len(chars)
-        after, before, end, ids = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), self.ids
+    def _relax_heap(self, edge: np.ndarray) -> list[tuple[int, int]]:
+        """Symbols (first, end) of one chunk; edge: its rows of the edge table."""
+        n = len(edge)
+        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = []
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and (p := ids.get(chars[i : end[j]])) is not None:
-                heapq.heappush(heap, (int(self.rank[p]), i, end[i], end[j]))
+            if j < n and end[j] - i <= self.most_chars and (p := edge.item(i, end[j] - i)) >= 0:
+                heapq.heappush(heap, (self.rank.item(p), i, end[i], end[j]))
 
         alive = [True] * n
         for i in range(n):
@@ -141,7 +140,7 @@ class Vocabulary:
         short = size <= LONG
         first, last = [], []
         for c in np.flatnonzero(~short):
-            for a, b in self._relax_heap(chunks[c]):
+            for a, b in self._relax_heap(edge[begin[c] : finish[c]]):
                 first.append(np.array([begin[c] + a]))
                 last.append(np.array([begin[c] + b]))
         live = np.flatnonzero(short[chunk] & (np.arange(len(chunk)) < finish[chunk]))
