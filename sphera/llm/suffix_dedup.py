@@ -6,9 +6,11 @@ anchors at equal offsets. Windows in a row with the same anchor make a run: abou
 bytes. Runs whose anchor occurs once in the corpus can't repeat and go no further. The text of the
 others (a segment: the run's windows together) is grouped by the anchor's hash; equal segments are
 counted and merged before and after that shuffle, so copies of a passage cost one segment a batch.
+Anchors of over HOT runs are dealt out by longer ones (the anchor with half a window's other bytes, before or after it).
 What is left of a group is sorted as suffixes, deep-shallow: multikey quicksort on 8-byte
 digits to depth SHALLOW, then blind tries, which look at the rest only where a suffix leaves the path of its
-group's first one. Suffixes that stay equal for LENGTH bytes are repeats.
+block's first one. Suffixes that stay equal for LENGTH bytes are repeats. A task holds the segments of one
+group and sorts at most about _SUFFIXES of their suffixes (or one place in the window) at once.
 
 All byte comparisons are on the texts themselves (segments are told apart by 128-bit digests).
 """
@@ -31,12 +33,16 @@ ANCHOR = 48
 SHALLOW = 32
 _POS_BITS = 28
 _BUFFER = 4000  # segments, about 1 MB and half a million suffixes
+_SUFFIXES = 1 << 20  # that are sorted at once
+HOT = 1000  # runs of an anchor from which on they are dealt out by longer anchors
 U64 = np.uint64
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """Anchor hash, row, anchor position, first window, windows of every run; positions count from the row's start."""
     n = len(data)
+    if n >> _POS_BITS:
+        raise ValueError(f"texts of {n} bytes: more than {_POS_BITS} bits can place")
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     width = length - ANCHOR + 1
     if n < length:
@@ -67,57 +73,100 @@ def _digits(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(text, 8)[at].copy().view(">u8").ravel().astype(U64)
 
 
-def equal_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Of each suffix: whether another one of its group has the same first `length` bytes. text: at least 8 bytes beyond the last suffix."""
-    found = np.zeros(len(at), bool)
-    live = np.arange(len(at))
-    depth = 0
+def _blocks(number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place of each run of equal numbers, its length, and the run of each place."""
+    new = np.r_[True, number[1:] != number[:-1]][: len(number)]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.r_[first, len(number)]), np.cumsum(new) - 1
 
-    def refine(live: np.ndarray, key: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((key, group))
-        live, key, group = live[order], key[order], group[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (key[1:] != key[:-1])]
-        number = np.cumsum(new) - 1
-        many = np.bincount(number)[number] > 1
-        return live[many], number[many]
-
-    def digit(at: np.ndarray, depth: int) -> np.ndarray:
-        key = _digits(text, at + depth)
-        return key >> U64(8 * (8 - (length - depth))) if length - depth < 8 else key
-
-    while depth < min(SHALLOW, length) and len(live):
-        live, group = refine(live, digit(at[live], depth), group if not depth and len(group) == len(live) else group)
-        depth += 8
-    low = np.full(len(live), depth)
-    while len(live):
-        # the first of each group is the path of its blind trie; `low` bytes of the group are known equal
-        first = np.r_[True, group[1:] != group[:-1]]
-        lead = live[first][np.cumsum(first) - 1]
-        leaves = np.full(len(live), length)
-        key = np.zeros(len(live), U64)
-        ask = np.flatnonzero(~first)
+
+def sorted_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Deep-shallow sort of the suffixes of each group by their first `length` bytes.
+
+    Returns the suffixes' numbers in order (groups ascending), and of each whether it equals the one before it in its group in
+    all `length` bytes. text: at least 8 bytes beyond the last suffix.
+    """
+    order = np.argsort(group, kind="stable")
+    equal = np.zeros(len(at), bool)
+    slot, number = np.arange(len(at)), group[order]  # places of `order` that aren't settled, and the block of each
+    depth = np.zeros(len(at), np.int64)
+    deep_slot, deep_number, deep_from, blocks = [], [], [], 0
+
+    def digit(start: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        beyond = np.maximum(0, 8 - (length - depth)).astype(U64) * U64(8)
+        return _digits(text, start + depth) >> beyond
+
+    # multikey quicksort, all blocks at once: three ways by a digit of 8 bytes against the block's pivot; who equals it goes 8 bytes deeper
+    first, size, number = _blocks(number)
+    alone = size[number] == 1
+    slot, number, depth = slot[~alone], number[~alone], depth[~alone]
+    while len(slot):
+        first, size, number = _blocks(number)
+        item = order[slot]
+        key = digit(at[item], depth)
+        three = np.sort(np.stack([key[first], key[first + size // 2], key[first + size - 1]]), axis=0)
+        pivot = three[1][number]
+        way = 3 * number + 1 + (key > pivot) - (key < pivot)
+        moved = np.argsort(way, kind="stable")
+        order[slot] = item[moved]
+        way = way[moved]  # depth is the same in all of a block
+        depth = depth + 8 * (way % 3 == 1)
+        first, size, number = _blocks(way)
+        begins = np.zeros(len(slot), bool)
+        begins[first] = True
+        whole = depth >= length
+        equal[slot[whole & ~begins]] = True
+        rest = (size[number] > 1) & ~whole
+        deep = rest & (depth >= SHALLOW)
+        deep_slot.append(slot[deep])
+        deep_number.append(number[deep] + blocks)
+        deep_from.append(depth[deep])
+        blocks += len(first)
+        rest &= ~deep
+        slot, number, depth = slot[rest], number[rest], depth[rest]
+    slot, number, low = (np.concatenate([*parts, np.zeros(0, np.int64)]) for parts in (deep_slot, deep_number, deep_from))
+
+    # a blind trie of each block, path by path: the first suffix is the path; an inner node is a depth at which others leave it,
+    # their digit there the edge. Who goes down the same edge makes a block of the next round, known equal up to that digit.
+    while len(slot):
+        first, _, number = _blocks(number)
+        item = order[slot]
+        lead = item[first][number]
+        leaves = np.full(len(slot), length)
+        edge, side = np.zeros(len(slot), U64), np.ones(len(slot), np.int8)
+        ask = np.flatnonzero(item != lead)
         depth = low.copy()
         while len(ask):
-            depth_now = depth[ask]
-            done = depth_now >= length
-            ask, depth_now = ask[~done], depth_now[~done]
-            a, b = _digits(text, at[live[ask]] + depth_now), _digits(text, at[lead[ask]] + depth_now)
-            beyond = np.maximum(0, 8 - (length - depth_now)).astype(U64) * U64(8)
-            a, b = a >> beyond, b >> beyond
+            ask = ask[depth[ask] < length]
+            a, b = digit(at[item[ask]], depth[ask]), digit(at[lead[ask]], depth[ask])
             off = a != b
-            leaves[ask[off]], key[ask[off]] = depth_now[off], a[off]
-            depth[ask] += 8
+            out = ask[off]
+            leaves[out], edge[out], side[out] = depth[out], a[off], np.where(a[off] < b[off], 0, 2)
             ask = ask[~off]
-        same = (leaves == length) & ~first
-        found[live[same]] = True
-        found[lead[same]] = True
-        rest = np.flatnonzero(leaves < length)
-        order = rest[np.lexsort((key[rest], leaves[rest], group[rest]))]
-        live, group, key, leaves = live[order], group[order], key[order], leaves[order]
-        new = np.r_[True, (group[1:] != group[:-1]) | (leaves[1:] != leaves[:-1]) | (key[1:] != key[:-1])][: len(live)]
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > 1
-        live, group, low = live[many], group[many], leaves[many] + 8
+            depth[ask] += 8
+        # in order: smaller edges by rising depth, the path, larger edges by falling depth
+        moved = np.lexsort((edge, np.where(side == 0, leaves, -leaves), side, number))
+        order[slot] = item[moved]
+        number, side, leaves, edge = number[moved], side[moved], leaves[moved], edge[moved]
+        new = np.r_[True, (number[1:] != number[:-1]) | (side[1:] != side[:-1]) | (leaves[1:] != leaves[:-1]) | (edge[1:] != edge[:-1])]
+        equal[slot[(side == 1) & ~new]] = True
+        number = np.cumsum(new) - 1
+        rest = (np.bincount(number)[number] > 1) & (side != 1)
+        slot, number, low = slot[rest], number[rest], leaves[rest] + 8
+        # whose edge ends the string has nothing left that differs
+        whole = low >= length
+        if whole.any():
+            begins = np.r_[True, number[1:] != number[:-1]]
+            equal[slot[whole & ~begins]] = True
+            slot, number, low = slot[~whole], number[~whole], low[~whole]
+    return order, equal
+
+
+def equal_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Of each suffix: whether another one of its group has the same first `length` bytes. text: at least 8 bytes beyond the last suffix."""
+    found = np.zeros(len(at), bool)
+    order, equal = sorted_suffixes(text, at, group, length)
+    found[order] = equal | np.r_[equal[1:], False][: len(equal)]
     return found
 
 
@@ -143,8 +192,13 @@ def repeats_of_groups(anchor: np.ndarray, lead: np.ndarray, count: np.ndarray, c
     ask = np.flatnonzero(shared[owner])
     if len(ask):
         text = np.r_[text, np.zeros(length + 8, np.uint8)]
-        key = group[owner[ask]] * (length + 1) + lead[owner[ask]] - window[ask]
-        flags[ask] |= equal_suffixes(text, offsets[owner[ask]] + window[ask], key, length)
+        # equal windows have the anchor at the same place in them, so places can be sorted a few at a time
+        place = lead[owner[ask]] - window[ask]
+        turn = np.cumsum(np.bincount(place)) // _SUFFIXES
+        for t in np.unique(turn[place]) if turn[-1] else (None,):
+            now = ask if t is None else ask[turn[place] == t]
+            key = group[owner[now]] * (length + 1) + lead[owner[now]] - window[now]
+            flags[now] |= equal_suffixes(text, offsets[owner[now]] + window[now], key, length)
     own, begin, end = _ranges(flags, owner)
     return own, begin - first[own], end - first[own]
 
@@ -167,7 +221,26 @@ def _anchor_counts(docs: DataFrame, length: int) -> DataFrame:
             anchor, n = np.unique(runs(data, offsets, length)[0], return_counts=True)
             yield pa.RecordBatch.from_pydict({"anchor": anchor, "n": n})
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("anchor").bitwiseXOR(F.lit(0)).alias("anchor"))  # a new column: the join deals it out anew, and can then split a hot anchor
+    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("anchor").bitwiseXOR(F.lit(0)).alias("anchor"), (F.col("n") > HOT).alias("hot"))  # a new column: the join deals it out anew, and can then split a hot anchor
+
+
+def _divided(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, owner: np.ndarray, lead: np.ndarray, start: np.ndarray, count: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The runs with those of hot anchors in two: windows that have at least `more` bytes before the anchor, and those that have
+    as many after it. The anchor and these bytes make the new anchor, which equal windows share too.
+    """
+    more = (length - ANCHOR) // 2
+    sums = hash_sums(data)
+    place = offsets[owner] + start + lead
+    left = np.clip(lead - more + 1, 0, count)  # windows of the first kind come first
+    kinds = [(anchor[~hot], owner[~hot], lead[~hot], start[~hot], count[~hot])]
+    for side, (skip, size) in enumerate(((np.zeros_like(left), left), (left, count - left))):
+        i = np.flatnonzero(hot & (size > 0))
+        begin = place[i] - (more if side == 0 else 0)
+        longer = range_hash(sums, begin, begin + ANCHOR + more) ^ U64(side)
+        kinds.append((longer.view(np.int64), owner[i], lead[i] - skip[i], start[i] + skip[i], size[i]))
+    parts = [np.concatenate(p) for p in zip(*kinds, strict=True)]
+    order = np.argsort(parts[1], kind="stable")
+    return tuple(p[order] for p in parts)
 
 
 def _segments(joined: DataFrame, length: int, merge: bool) -> DataFrame:
@@ -181,7 +254,9 @@ def _segments(joined: DataFrame, length: int, merge: bool) -> DataFrame:
             inner = lists.flatten()
             size = np.diff(lists.offsets.to_numpy())
             owner = np.repeat(np.arange(rows.num_rows), size)
-            anchor, lead, start, count = (inner.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            anchor, lead, start, count, hot = (inner.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+            if hot.any():
+                anchor, owner, lead, start, count = _divided(data, offsets, anchor, owner, lead, start, count, hot > 0, length)
             begin = offsets[owner] + start
             raw, tail = data.tobytes(), np.stack([lead, count], 1)
             texts = [raw[a:b] for a, b in zip(begin, begin + count + length - 1, strict=True)]
@@ -207,22 +282,20 @@ def _segments(joined: DataFrame, length: int, merge: bool) -> DataFrame:
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of about _BUFFER rows that end where the first column's value changes."""
+    """Tables of about _BUFFER rows that end where the first column's value changes; a longer group is held as it came."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, last = 0, None
     for batch in batches:
         for at in range(0, batch.num_rows, _BUFFER):
             part = batch.slice(at, _BUFFER)
+            key = part.column(0).to_numpy()
+            if rows >= _BUFFER and (other := key != last).any():
+                cut = int(other.argmax())
+                yield pa.Table.from_batches([*held, part.slice(0, cut)])
+                part = part.slice(cut)
+                held, rows = [], 0
             held.append(part)
-            rows += part.num_rows
-            if rows < _BUFFER:
-                continue
-            whole = pa.Table.from_batches(held)
-            key = whole.column(0).to_numpy()
-            cut = int(np.searchsorted(key != key[-1], False)) if key[0] != key[-1] else 0
-            if cut:
-                yield whole.slice(0, cut)
-            held, rows = whole.slice(cut).to_batches(), whole.num_rows - cut
+            rows, last = rows + part.num_rows, key[-1]
     if rows:
         yield pa.Table.from_batches(held)
 
@@ -244,7 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (rid, doc_id, text) with `spans` array<struct<from,to>>: byte ranges that repeated windows cover, unordered; null if none."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     repeated = _runs_of(docs, length).join(_anchor_counts(docs, length), "anchor")
-    lists = repeated.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lead", "start", "windows")).alias("runs"))
+    lists = repeated.groupBy("rid").agg(F.collect_list(F.struct("anchor", "lead", "start", "windows", "hot")).alias("runs"))
     joined = docs.join(lists, "rid")
     merged = _segments(joined, length, True).repartition(parts, "anchor").groupBy("anchor", "digest").agg(
         F.first("lead").alias("lead"), F.first("windows").alias("windows"), F.sum("copies").alias("copies"), F.first("segment").alias("segment")
