@@ -4,8 +4,9 @@ A text's set is that of its k-word shingles (64-bit hashes). Shingles are ordere
 document frequency, counted over all texts in a table of `DF_SLOTS` slots (so its size is fixed; sharing a slot only
 costs order, never a link). Two sets that link share one of their first n - ceil(t n) + 1 shingles, so
 postings of those prefixes are grouped by shingle. Pairs pass the length filter, the positional
-filter and the suffix filter (a bound on the difference from 64 part counts of each set), then each pair is verified
-once on the texts.
+filter and the suffix filter, then each pair is verified once on the texts. The suffix filter cuts what follows the shared
+shingle in both sets at the same PARTS - 1 pivots of the shingle order (equal shares of all shingles, by the frequency table):
+the counts between pivots must differ by no more than the threshold leaves room for.
 
 Equal sets count once. A group of m near copies doesn't make m^2 pairs: in a first round only sets that stand
 next to each other under a shingle (by size) are compared, and each with the shingle's hub, the set with the
@@ -71,8 +72,17 @@ def document_frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _summaries(docs: DataFrame, k: int) -> DataFrame:
-    """rid, doc_id, n, sid (digest of the set; null if empty), parts (counts of the set's parts, 16-bit, saturating)."""
+def _part_of_slot(frequency: np.ndarray) -> np.ndarray:
+    """Between which pivots the shingles of a slot stand: order is by frequency, then by value."""
+    order = np.argsort(frequency, kind="stable")
+    mass = np.cumsum(frequency[order].astype(np.int64))
+    part = np.empty(len(order), np.uint8)
+    part[order] = (mass - 1).clip(min=0) * PARTS // max(1, int(mass[-1]))
+    return part
+
+
+def _summaries(docs: DataFrame, part_of_slot, k: int) -> DataFrame:
+    """rid, doc_id, n, sid (digest of the set; null if empty), parts (how many of its shingles stand between pivots, 16-bit, saturating)."""
 
     def run(batches):
         for rows, data, offsets in slices(batches, "text"):
@@ -81,7 +91,7 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
             ends = np.cumsum(n)
             raw = value.tobytes()
             sid = [xxhash.xxh3_64_intdigest(raw[8 * (e - c) : 8 * e]) for c, e in zip(n, ends, strict=True)]
-            hist = np.bincount(row * PARTS + (value & U64(PARTS - 1)).astype(np.int64), minlength=rows.num_rows * PARTS).clip(max=65535).astype(np.uint16).tobytes()
+            hist = np.bincount(row * PARTS + part_of_slot.value[_slot(value)], minlength=rows.num_rows * PARTS).clip(max=65535).astype(np.uint16).tobytes()
             yield pa.RecordBatch.from_pydict({
                 "rid": rows.column(0), "doc_id": rows.column(1), "n": n, "sid": pa.array(np.array(sid, U64).view(np.int64), mask=n == 0),
                 "parts": [hist[i : i + 2 * PARTS] for i in range(0, len(hist), 2 * PARTS)],
@@ -119,22 +129,40 @@ def _may_link(n1: Column, p1: Column, n2: Column, p2: Column, num: int, den: int
     return (small * den >= large * num) & (overlap * (den + num) >= num * (small + large))
 
 
+def _pairs(df: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
+    """a, b, pos_a, pos_b (sets, the lesser first, and where the shared shingle stands in them) from two (set, place) of each row."""
+    first = F.col(one[0]) < F.col(two[0])
+    pick = lambda i, j: F.when(first, F.col(one[i])).otherwise(F.col(two[i])) if not j else F.when(first, F.col(two[i])).otherwise(F.col(one[i]))
+    return df.select(pick(0, 0).alias("a"), pick(0, 1).alias("b"), pick(1, 0).alias("pos_a"), pick(1, 1).alias("pos_b"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, by its first shared shingle found."""
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("pos_a", "pos_b")).alias("at")).select("a", "b", "at.pos_a", "at.pos_b")
+
+
+def suffixes_allow(na: np.ndarray, nb: np.ndarray, pos_a: np.ndarray, pos_b: np.ndarray, parts_a: np.ndarray, parts_b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of na and nb shingles that share one, at pos_a and pos_b, can link; parts: counts between pivots."""
+    after_a, after_b = (np.clip(np.minimum(p, np.cumsum(p, 1) - at[:, None] - 1), 0, None) for p, at in ((parts_a, pos_a), (parts_b, pos_b)))
+    suffix = (na - pos_a - 1 + nb - pos_b - 1 - np.abs(after_a - after_b).sum(1)) // 2
+    whole = (na + nb - np.abs(parts_a - parts_b).sum(1)) // 2
+    shared = np.minimum(whole, np.minimum(pos_a, pos_b) + 1 + suffix)
+    full = (parts_a == 65535).any(1) | (parts_b == 65535).any(1)
+    return full | (den * shared >= num * (na + nb - shared))
+
+
 def _suffix_filter(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (a, b) with the rid of a text of each whose part counts allow a link."""
+    """pairs (a, b, pos_a, pos_b) with the rid of a text of each, as far as their suffixes allow a link."""
     side = lambda s: sets.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"), F.col("rid").alias(f"rid_{s}"), F.col("parts").alias(f"parts_{s}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "rid_a", "rid_b", "parts_a", "parts_b")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rid_a", "rid_b", "n_a", "n_b", "pos_a", "pos_b", "parts_a", "parts_b")
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-            pa_, pb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int64) for i in (6, 7))
-            differ = np.abs(pa_ - pb).sum(1)
-            shared = (na + nb - differ) // 2  # at most so many
-            full = (pa_ == 65535).any(1) | (pb == 65535).any(1)
-            ok = full | (den * shared >= num * (na + nb - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (0, 1, 4, 5)], names=["a", "b", "rid_a", "rid_b"]).filter(pa.array(ok))
+            numbers = [batch.column(i).to_numpy().astype(np.int64) for i in range(4, 8)]
+            parts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int64) for i in (8, 9)]
+            yield batch.select(["a", "b", "rid_a", "rid_b"]).filter(pa.array(suffixes_allow(*numbers, *parts, num, den)))
 
     return joined.mapInArrow(run, "a long, b long, rid_a long, rid_b long")
 
@@ -165,7 +193,7 @@ def _hub_pairs(shared: DataFrame, num: int, den: int) -> DataFrame:
     common = shared.select("token", "sid").join(size, "token").groupBy("sid").agg(F.sum("size").alias("common"))
     hub = shared.join(common, "sid").groupBy("token").agg(F.max(F.struct("common", F.col("sid").alias("hub"), F.col("n").alias("n_hub"), F.col("pos").alias("pos_hub"))).alias("h")).select("token", "h.*")
     pairs = shared.join(hub, "token").where((F.col("sid") != F.col("hub")) & _may_link(F.col("n"), F.col("pos"), F.col("n_hub"), F.col("pos_hub"), num, den))
-    return pairs.select(F.least("sid", "hub").alias("a"), F.greatest("sid", "hub").alias("b"))
+    return _pairs(pairs, ("sid", "pos"), ("hub", "pos_hub"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -181,16 +209,16 @@ def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("rid", "doc_id", "text")
-    frequency = docs.sparkSession.sparkContext.broadcast(np.minimum(document_frequencies(docs, k), 2**31 - 1).astype(np.int32))
-    rows = cut_lineage(_summaries(docs, k))
+    counts = np.minimum(document_frequencies(docs, k), 2**31 - 1).astype(np.int32)
+    frequency, part_of_slot = (docs.sparkSession.sparkContext.broadcast(x) for x in (counts, _part_of_slot(counts)))  # DF_SLOTS numbers each
+    rows = cut_lineage(_summaries(docs, part_of_slot, k))
     sets = rows.where("sid is not null").groupBy("sid").agg(F.min(F.struct("rid", "n", "parts")).alias("s")).select("sid", "s.*")
     own = Window.partitionBy("token").orderBy("n", "sid")
     postings = _postings(docs, frequency, k, num, den).repartition(parts, "token").distinct()
     near = {f"{c}_before": F.lag(c).over(own) for c in ("sid", "n", "pos")} | {"sid_after": F.lead("sid").over(own)}
     shared = cut_lineage(postings.withColumns(near).where("sid_before is not null or sid_after is not null").drop("sid_after"))
     chain = shared.where(F.col("sid_before").isNotNull() & _may_link(F.col("n"), F.col("pos"), F.col("n_before"), F.col("pos_before"), num, den))
-    chain = chain.select(F.least("sid", "sid_before").alias("a"), F.greatest("sid", "sid_before").alias("b"))
-    chain = cut_lineage(chain.union(_hub_pairs(shared, num, den)).distinct())
+    chain = cut_lineage(_once(_pairs(chain, ("sid", "pos"), ("sid_before", "pos_before")).union(_hub_pairs(shared, num, den))))
     first = connected(_verified(_suffix_filter(chain, sets, num, den), docs, k, num, den))
     first = first.withColumnRenamed("node", "sid")
     placed = shared.select("token", "sid", "n", "pos").join(first, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
@@ -200,7 +228,7 @@ def join(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     few = mixed.where("component <> main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "pos", "component")])
     apart = (F.col("component_a") != F.col("component")) & ((F.col("component") == F.col("main")) | (F.col("sid_a") < F.col("sid")))
     cross = few.join(mixed, "token").where(apart & _may_link(F.col("n_a"), F.col("pos_a"), F.col("n"), F.col("pos"), num, den))
-    cross = cross.select(F.least("sid", "sid_a").alias("a"), F.greatest("sid", "sid_a").alias("b")).distinct().join(chain, ["a", "b"], "left_anti")
+    cross = _once(_pairs(cross, ("sid", "pos"), ("sid_a", "pos_a"))).join(chain, ["a", "b"], "left_anti")
     second = _verified(_suffix_filter(cross, sets, num, den), docs, k, num, den)
     whole = connected(first.select(F.col("sid").alias("a"), F.col("component").alias("b")).union(second))
     whole = whole.withColumnRenamed("node", "sid")
