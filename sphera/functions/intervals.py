@@ -74,115 +74,147 @@ class Line(NamedTuple):
         return Line(F.greatest(self.lo, o.lo), F.least(self.hi, o.hi))
 
 
-def _positive_distance(a: Column, b: Column) -> Column:
-    """From a counterclockwise to b, in [0, 2 pi)."""
-    d = b - a
-    return F.when(d >= 0, d).otherwise((b + PI) - (a - PI))
+def _turn(x: Column) -> Column:
+    """x less whole turns, in [0, 2 pi)."""
+    return x - 2 * PI * F.floor(x / (2 * PI))
+
+
+def _wrapped(x: Column) -> Column:
+    """x less whole turns, in (-pi, pi]."""
+    return x - 2 * PI * F.ceil((x - PI) / (2 * PI))
 
 
 class Arc(NamedTuple):
+    """All operations go by offsets: how far counterclockwise from lo a point lies, against how far hi lies."""
+
     lo: Column
     hi: Column
 
     @classmethod
     def from_point(cls, p: Column) -> Arc:
-        p = F.when(p == -PI, PI).otherwise(p)
-        return cls(p, p)
+        return cls(_wrapped(p), _wrapped(p))
 
     @classmethod
     def from_pair(cls, a: Column, b: Column) -> Arc:
         """The shorter way round."""
-        a, b = (F.when(p == -PI, PI).otherwise(p) for p in (a, b))
-        forward = _positive_distance(a, b) <= PI
-        return cls(F.when(forward, a).otherwise(b), F.when(forward, b).otherwise(a))
+        ends = F.struct(_wrapped(a).alias("lo"), _wrapped(b).alias("hi"))
+        ends = F.when(_turn(b - a) <= PI, ends).otherwise(F.struct(ends["hi"].alias("lo"), ends["lo"].alias("hi")))
+        return cls(ends["lo"], ends["hi"])
+
+    @classmethod
+    def empty(cls) -> Arc:
+        return cls(F.lit(PI), F.lit(-PI))
+
+    @classmethod
+    def full(cls) -> Arc:
+        return cls(F.lit(-PI), F.lit(PI))
+
+    @classmethod
+    def first_of(cls, *cases: tuple[Column, Arc], otherwise: Arc) -> Arc:
+        """The arc of the first condition that holds."""
+        lo = hi = None
+        for condition, arc in cases:
+            lo = F.when(condition, arc.lo) if lo is None else lo.when(condition, arc.lo)
+            hi = F.when(condition, arc.hi) if hi is None else hi.when(condition, arc.hi)
+        return cls(lo.otherwise(otherwise.lo), hi.otherwise(otherwise.hi))
 
     def is_full(self) -> Column:
-        return (self.lo == -PI) & (self.hi == PI)
+        return self.hi - self.lo >= 2 * PI
 
     def is_empty(self) -> Column:
-        return (self.lo == PI) & (self.hi == -PI)
+        return self.lo - self.hi >= 2 * PI
 
     def is_inverted(self) -> Column:
         return self.lo > self.hi
 
-    def center(self) -> Column:
-        c = 0.5 * (self.lo + self.hi)
-        return F.when(~self.is_inverted(), c).when(c <= 0, c + PI).otherwise(c - PI)
-
     def length(self) -> Column:
         """-1 if empty."""
-        n = self.hi - self.lo
-        return F.when(n >= 0, n).when(n + 2 * PI > 0, n + 2 * PI).otherwise(-1.0)
+        return F.when(self.is_empty(), -1.0).when(self.is_full(), 2 * PI).otherwise(_turn(self.hi - self.lo))
+
+    def center(self) -> Column:
+        """Half way from lo to hi."""
+        return _wrapped(self.lo + 0.5 * self.length())
 
     def complement(self) -> Arc:
-        point = self.lo == self.hi
-        return Arc(F.when(point, -PI).otherwise(self.hi), F.when(point, PI).otherwise(self.lo))
+        return Arc.first_of((self.lo == self.hi, Arc.full()), otherwise=Arc(self.hi, self.lo))
 
-    def _fast_contains(self, p: Column) -> Column:
-        return F.when(self.is_inverted(), ((p >= self.lo) | (p <= self.hi)) & ~self.is_empty()).otherwise((p >= self.lo) & (p <= self.hi))
+    def _offset(self, p: Column) -> Column:
+        return _turn(p - self.lo)
 
     def contains_point(self, p: Column) -> Column:
-        return self._fast_contains(F.when(p == -PI, PI).otherwise(p))
+        return self._offset(p) <= self.length()
 
     def interior_contains_point(self, p: Column) -> Column:
-        p = F.when(p == -PI, PI).otherwise(p)
-        return F.when(self.is_inverted(), (p > self.lo) | (p < self.hi)).otherwise(((p > self.lo) & (p < self.hi)) | self.is_full())
+        return self.is_full() | ((self._offset(p) > 0) & (self._offset(p) < self.length()))
 
     def contains(self, o: Arc) -> Column:
-        both = F.when(o.is_inverted(), (o.lo >= self.lo) & (o.hi <= self.hi)).otherwise(((o.lo >= self.lo) | (o.hi <= self.hi)) & ~self.is_empty())
-        plain = F.when(o.is_inverted(), self.is_full() | o.is_empty()).otherwise((o.lo >= self.lo) & (o.hi <= self.hi))
-        return F.when(self.is_inverted(), both).otherwise(plain)
+        """o's ends come one after the other from lo on, before hi."""
+        inside = (self._offset(o.lo) <= self._offset(o.hi)) & (self._offset(o.hi) <= self.length()) & ~o.is_full()
+        return o.is_empty() | self.is_full() | inside
+
+    def interior_contains(self, o: Arc) -> Column:
+        inside = (self._offset(o.lo) > 0) & (self._offset(o.lo) <= self._offset(o.hi)) & (self._offset(o.hi) < self.length()) & ~o.is_full()
+        return o.is_empty() | self.is_full() | inside
 
     def intersects(self, o: Arc) -> Column:
-        none = self.is_empty() | o.is_empty()
-        crossed = o.is_inverted() | (o.lo <= self.hi) | (o.hi >= self.lo)
-        plain = F.when(o.is_inverted(), (o.lo <= self.hi) | (o.hi >= self.lo)).otherwise((o.lo <= self.hi) & (o.hi >= self.lo))
-        return F.when(none, False).when(self.is_inverted(), crossed).otherwise(plain)
+        return ~self.is_empty() & ~o.is_empty() & (self.contains_point(o.lo) | o.contains_point(self.lo))
+
+    def interior_intersects(self, o: Arc) -> Column:
+        """Whether this one's interior meets o."""
+        point = self.lo == self.hi
+        return ~self.is_empty() & ~o.is_empty() & ~point & (self.interior_contains_point(o.lo) | self.interior_contains_point(o.hi) | o.contains(self) | (o.contains_point(self.lo) & o.contains_point(self.hi) & (o.length() > 0)))
+
+    def _outside(self, p: Column) -> Column:
+        """How far a point is from the interval, 0 inside."""
+        return F.when(self.contains_point(p), 0.0).otherwise(F.least(_turn(p - self.hi), _turn(self.lo - p)))
 
     def add_point(self, p: Column) -> Arc:
-        p = F.when(p == -PI, PI).otherwise(p)
-        inside, e = self._fast_contains(p), self.is_empty()
-        to_low = _positive_distance(p, self.lo) < _positive_distance(self.hi, p)
-        return Arc(F.when(inside, self.lo).when(e | to_low, p).otherwise(self.lo), F.when(inside, self.hi).when(e | ~to_low, p).otherwise(self.hi))
+        p = _wrapped(p)
+        after = _turn(p - self.hi) <= _turn(self.lo - p)
+        return Arc.first_of((self.is_empty(), Arc(p, p)), (self.contains_point(p), self), (after, Arc(self.lo, p)), otherwise=Arc(p, self.hi))
 
     def project(self, p: Column) -> Column:
         """The nearest point; the interval must not be empty."""
-        p = F.when(p == -PI, PI).otherwise(p)
-        nearer_low = _positive_distance(p, self.lo) < _positive_distance(self.hi, p)
-        return F.when(self._fast_contains(p), p).when(nearer_low, self.lo).otherwise(self.hi)
-
-    def expanded(self, margin: float) -> Arc:
-        rem = lambda c: c - 2 * PI * F.rint(c / (2 * PI))
-        lo, hi = rem(self.lo - margin), rem(self.hi + margin)
-        lo = F.when(lo <= -PI, PI).otherwise(lo)
-        if margin >= 0:
-            full = (self.length() + 2 * margin + 1e-15) >= 2 * PI
-            return Arc(F.when(self.is_empty(), self.lo).when(full, -PI).otherwise(lo), F.when(self.is_empty(), self.hi).when(full, PI).otherwise(hi))
-        gone = (self.length() + 2 * margin - 1e-15) <= 0
-        keep = self.is_full()
-        return Arc(F.when(keep, self.lo).when(gone, PI).otherwise(lo), F.when(keep, self.hi).when(gone, -PI).otherwise(hi))
+        return F.when(self.contains_point(p), _wrapped(p)).when(_turn(p - self.hi) <= _turn(self.lo - p), self.hi).otherwise(self.lo)
+
+    def expanded(self, margin: Column | float) -> Arc:
+        """Each end moved outwards (a negative margin: inwards, until nothing is left)."""
+        size = self.length() + 2 * margin
+        return Arc.first_of(
+            (self.is_empty() | (self.is_full() & (F.lit(0.0) + margin < 0)), self),
+            (size >= 2 * PI - 1e-15, Arc.full()),
+            (size < 1e-15 * F.when(F.lit(0.0) + margin < 0, 1.0).otherwise(-1.0), Arc.empty()),
+            otherwise=Arc(_wrapped(self.lo - margin), _wrapped(self.hi + margin)),
+        )
 
     def union(self, o: Arc) -> Arc:
         """The shortest interval that contains both."""
-        low_in, high_in = self._fast_contains(o.lo), self._fast_contains(o.hi)
-        nearer = _positive_distance(o.hi, self.lo) < _positive_distance(self.hi, o.lo)
-        lo = F.when(o.is_empty(), self.lo).when(low_in & high_in, F.when(self.contains(o), self.lo).otherwise(-PI)).when(low_in, self.lo).when(high_in, o.lo)
-        hi = F.when(o.is_empty(), self.hi).when(low_in & high_in, F.when(self.contains(o), self.hi).otherwise(PI)).when(low_in, o.hi).when(high_in, self.hi)
-        around = self.is_empty() | o._fast_contains(self.lo)
-        return Arc(lo.when(around, o.lo).when(nearer, o.lo).otherwise(self.lo), hi.when(around, o.hi).when(nearer, self.hi).otherwise(o.hi))
+        lo_in, hi_in = self.contains_point(o.lo), self.contains_point(o.hi)
+        gap_after, gap_before = _turn(o.lo - self.hi), _turn(self.lo - o.hi)
+        return Arc.first_of(
+            (self.contains(o), self), (o.contains(self), o), (lo_in & hi_in, Arc.full()), (lo_in, Arc(self.lo, o.hi)), (hi_in, Arc(o.lo, self.hi)), (gap_before < gap_after, Arc(o.lo, self.hi)), otherwise=Arc(self.lo, o.hi)
+        )
 
     def intersection(self, o: Arc) -> Arc:
-        """The shortest interval that contains what they share."""
-        low_in, high_in = self._fast_contains(o.lo), self._fast_contains(o.hi)
-        shorter = o.length() < self.length()
-        inside = o._fast_contains(self.lo)
-        lo = F.when(o.is_empty(), PI).when(low_in & high_in, F.when(shorter, o.lo).otherwise(self.lo)).when(low_in, o.lo).when(high_in, self.lo).when(inside, self.lo).otherwise(PI)
-        hi = F.when(o.is_empty(), -PI).when(low_in & high_in, F.when(shorter, o.hi).otherwise(self.hi)).when(low_in, self.hi).when(high_in, o.hi).when(inside, self.hi).otherwise(-PI)
-        return Arc(lo, hi)
+        """The shortest interval that contains what they share; of two that meet at both ends, the shorter one."""
+        lo_in, hi_in = self.contains_point(o.lo), self.contains_point(o.hi)
+        return Arc.first_of(
+            (self.is_empty() | o.is_empty(), Arc.empty()),
+            (self.contains(o) | (lo_in & hi_in & ~o.contains(self) & (o.length() < self.length())), o),
+            (o.contains(self) | (lo_in & hi_in), self),
+            (lo_in, Arc(o.lo, self.hi)),
+            (hi_in, Arc(self.lo, o.hi)),
+            otherwise=Arc.empty(),
+        )
 
     def directed_hausdorff(self, o: Arc) -> Column:
-        middle = o.complement().center()
-        up = F.when(Arc(o.hi, middle)._fast_contains(self.hi), _positive_distance(o.hi, self.hi)).otherwise(0.0)
-        down = F.when(Arc(middle, o.lo)._fast_contains(self.lo), _positive_distance(self.lo, o.lo)).otherwise(0.0)
-        far = F.when(self._fast_contains(middle), _positive_distance(o.hi, middle)).otherwise(F.greatest(up, down))
+        """How far a point of this one can be from o: at the middle of what o leaves out, or at an end."""
+        middle = _wrapped(o.hi + 0.5 * (2 * PI - o.length()))
+        far = F.when(self.contains_point(middle), o._outside(middle)).otherwise(F.greatest(o._outside(self.lo), o._outside(self.hi)))
         return F.when(o.contains(self), 0.0).when(o.is_empty(), PI).otherwise(far)
+
+    def approx_equals(self, o: Arc, error: float = 1e-15) -> Column:
+        """Ends within the error; short intervals count as empty, long ones as full."""
+        gap = lambda a, b: F.abs(_wrapped(a - b))
+        near = (gap(self.lo, o.lo) <= error) & (gap(self.hi, o.hi) <= error) & (F.abs(self.length() - o.length()) <= 2 * error)
+        return F.when(self.is_empty(), o.length() <= 2 * error).when(o.is_empty(), self.length() <= 2 * error).when(self.is_full(), o.length() >= 2 * PI - 2 * error).when(o.is_full(), self.length() >= 2 * PI - 2 * error).otherwise(near)

@@ -249,11 +249,10 @@ def ref_dir(a: Vec) -> Vec:
 
 
 def rotate(p: Vec, axis: Vec, radians: Column) -> Vec:
-    """p turned about a unit axis, counterclockwise."""
-    center = axis.times(p.dot(axis))
-    dx = p.minus(center)
-    dy = axis.cross(p)
-    return dx.times(F.cos(radians)).plus(dy.times(F.sin(radians))).plus(center).normalized()
+    """p turned about a unit axis, counterclockwise (Rodrigues' formula)."""
+    cos = F.cos(radians)
+    along = axis.times(axis.dot(p) * (1 - cos))
+    return p.times(cos).plus(axis.cross(p).times(F.sin(radians))).plus(along).normalized()
 
 
 def frame(z: Vec) -> tuple[Vec, Vec, Vec]:
