@@ -22,6 +22,11 @@ EPSILON = 2.220446049250313e-16
 MAX_LENGTH2 = 4.0
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value's expression in the tree once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 class Vec(NamedTuple):
     x: Column
     y: Column

@@ -160,7 +160,17 @@ def rects(spark, d):
     """id and rectangles about the suppliers: half sizes of 5 + id % 7 degrees."""
     df = points(spark, d, "supplier", "s_suppkey")
     size = F.radians(10 + 2 * (F.col("id") % 7).cast("double"))
-    return df, Rect.from_center_size(F.radians("lat"), F.radians("lng"), size, size)
+    return held(df, Rect.from_center_size(F.radians("lat"), F.radians("lng"), size, size))
+
+
+def held(df, rect, prefix="r_"):
+    """df with the rectangle's bounds in columns, and the rectangle of these columns."""
+    from sphera.functions.cells import fenced
+
+    names = [f"{prefix}{n}" for n in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")]
+    df = fenced(df, dict(zip(names, (rect.lat.lo, rect.lat.hi, rect.lng.lo, rect.lng.hi), strict=True)))
+    a, b, c, e = (F.col(n) for n in names)
+    return df, Rect(Line(a, b), Arc(c, e))
 
 
 @query("rect_contains", f"WITH {_S}, r AS ({_RECT} FROM p) SELECT a.id, count(*)::BIGINT AS n FROM r a JOIN r b ON b.la BETWEEN a.ll AND a.lh AND abs((b.ln - a.ln) - 2 * pi() * round_even((b.ln - a.ln) / (2 * pi()), 0)) <= a.w / 2 GROUP BY a.id")
@@ -171,6 +181,8 @@ def rect_contains(spark, d):
 
     df, rect = rects(spark, d)
     cap = rect.cap_bound()
+    df = cells.fenced(df, {f"m_{a}": c for c, a in zip(cap.center, "xyz", strict=True)})
+    cap = cap._replace(center=Vec.named("m_"))
     boxes = df.select("id", rect.lat.lo.alias("lat_lo"), rect.lat.hi.alias("lat_hi"), rect.lng.lo.alias("lng_lo"), rect.lng.hi.alias("lng_hi"), *[c.alias(f"q_{a}") for c, a in zip(cap.center, "xyz", strict=True)])
     boxes = cells.encode(boxes, Vec.named("q_"), "q_cell").withColumnRenamed("id", "q_id")
     targets = cells.encode(df.select(F.col("id").alias("t_id"), F.radians("lat").alias("t_lat"), F.radians("lng").alias("t_lng"), *[F.col(a).alias(f"t_{a}") for a in "xyz"]), Vec.named("t_"), "t_cell")
