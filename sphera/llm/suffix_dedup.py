@@ -32,8 +32,8 @@ LENGTH = 200
 ANCHOR = 48
 SHALLOW = 32
 _POS_BITS = 28
-_BUFFER = 4000  # segments, about 1 MB and half a million suffixes
-_SUFFIXES = 1 << 20  # that are sorted at once
+_BUFFER = 2000  # segments, about half a MB and a quarter of a million suffixes
+_SUFFIXES = 1 << 17  # that are sorted at once
 HOT = 1000  # runs of an anchor from which on they are dealt out by longer anchors
 U64 = np.uint64
 
