@@ -45,8 +45,10 @@ def uvw_face(face: Column, axis: int, direction: int) -> Column:
     return _by_face(face, find)
 
 
-def xyz_to_uvw(face: Column, p: Vec) -> Vec:
+def xyz_to_uvw(face: Column | int, p: Vec) -> Vec:
     """p in the coordinates of a face's axes."""
+    if isinstance(face, int):
+        return Vec(*[p[axis] * float(sign) for axis, sign in AXES[face]])
     return Vec(*[uvw_axis(face, a).dot(p) for a in range(3)])
 
 
