@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sphera.functions.cells import _TO_IJ, MAX_LEVEL, SIZE
+from sphera.functions.cells import _TO_IJ, _TO_POS, MAX_LEVEL, SIZE
 from sphera.operators.shapes import Point, angle, contains, distance_to_edge, edges, unit
 
 MASK = (1 << 64) - 1
@@ -61,6 +61,21 @@ def _xyz(face: int, u: float, v: float) -> Point:
     return unit(((1, u, v), (-u, 1, v), (-u, -v, 1), (-1, -v, -u), (v, -1, -u), (v, u, -1))[face])
 
 
+def cell_at(p: Point, at: int = MAX_LEVEL) -> int:
+    """The cell of a level that holds a point."""
+    x, y, z = p
+    big = max(range(3), key=lambda i: (abs(p[i]), i))
+    face = big if p[big] > 0 else big + 3
+    u, v = ((y / x, z / x), (-x / y, z / y), (-x / z, -y / z), (z / x, y / x), (z / y, -x / y), (-y / z, -x / z))[face] if any(p) else (0.0, 0.0)
+    st = lambda c: 0.5 * math.sqrt(1 + 3 * c) if c >= 0 else 1 - 0.5 * math.sqrt(1 - 3 * c)
+    i, j = (max(0, min(SIZE - 1, math.floor(SIZE * st(c)))) for c in (u, v))
+    pos, bits = face << 60, face & 1
+    for k in range(7, -1, -1):
+        t = _TO_POS[(i >> 4 * k & 15) << 6 | (j >> 4 * k & 15) << 2 | bits]
+        pos, bits = pos | t >> 2 << 8 * k, t & 3
+    return parent(pos << 1 | 1, at)
+
+
 def vertices(cell: int) -> list[Point]:
     """Counterclockwise."""
     face, i, j, size = _face_ij(cell)

@@ -19,7 +19,15 @@ from sphera.functions.points import Vec, angle, ortho
 PI = math.pi
 ENDS = [f"{p}{a}" for p in "ab" for a in "xyz"]
 COLUMNS = ["shape", "dim", "chain", "edge", *ENDS]
-A, B = Vec.named("a"), Vec.named("b")
+
+
+def a_end() -> Vec:
+    """Where edges begin."""
+    return Vec.named("a")
+
+
+def b_end() -> Vec:
+    return Vec.named("b")
 
 
 def _of_array(df: DataFrame, vertices: str, dim: int, last: Column) -> DataFrame:
@@ -103,7 +111,7 @@ def with_neighbours(table: DataFrame) -> DataFrame:
 
 def vertices(table: DataFrame) -> DataFrame:
     """shape, x, y, z: the distinct vertices of each shape."""
-    return table.select("shape", F.explode(F.array(A.struct(), B.struct())).alias("v")).select("shape", "v.x", "v.y", "v.z").distinct()
+    return table.select("shape", F.explode(F.array(a_end().struct(), b_end().struct())).alias("v")).select("shape", "v.x", "v.y", "v.z").distinct()
 
 
 # --- measures -----------------------------------------------------------------------------------
@@ -116,13 +124,13 @@ def _first_vertex(table: DataFrame) -> DataFrame:
 
 def lengths(table: DataFrame) -> DataFrame:
     """shape, chain, length: of a polyline, or the perimeter of a loop."""
-    return table.groupBy("shape", "chain").agg(F.sum(angle(A, B)).alias("length"))
+    return table.groupBy("shape", "chain").agg(F.sum(angle(a_end(), b_end())).alias("length"))
 
 
 def chain_areas(table: DataFrame) -> DataFrame:
     """shape, chain, signed_area (negative for a loop that is the smaller way round a hole) and area (of its left, 0 to 4 pi)."""
     df = _first_vertex(table.where("dim = 2"))
-    part = edges.signed_area(Vec.named("__o"), A, B)
+    part = edges.signed_area(Vec.named("__o"), a_end(), b_end())
     df = df.groupBy("shape", "chain").agg(F.sum(F.when(F.col("edge") > 0, part).otherwise(0.0)).alias("__s"))
     whole = F.pmod(F.col("__s"), F.lit(4 * PI))
     return df.select("shape", "chain", F.when(whole > 2 * PI, whole - 4 * PI).otherwise(whole).alias("signed_area"), whole.alias("area"))
@@ -137,7 +145,7 @@ def approx_areas(table: DataFrame) -> DataFrame:
     """shape, area by flat triangles from the first vertex: quicker, for small shapes."""
     df = _first_vertex(table.where("dim = 2"))
     o = Vec.named("__o")
-    n = A.minus(o).cross(B.minus(o))
+    n = a_end().minus(o).cross(b_end().minus(o))
     flat = 0.5 * n.norm() * F.signum(n.dot(o))
     return df.groupBy("shape").agg(F.sum(flat).alias("area"))
 
@@ -147,24 +155,24 @@ def curvatures(table: DataFrame) -> DataFrame:
     own = Window.partitionBy("shape", "chain").orderBy("edge")
     all_ = Window.partitionBy("shape", "chain")
     df = table.withColumns({f"__c{a}": F.coalesce(F.lead(f"b{a}").over(own), F.min_by(f"b{a}", "edge").over(all_)) for a in "xyz"})
-    turn = edges.turn_angle(A, B, Vec.named("__c"))
+    turn = edges.turn_angle(a_end(), b_end(), Vec.named("__c"))
     return df.groupBy("shape", "chain").agg(F.sum(turn).alias("curvature"), (F.count("*") * F.lit(9.73 * 2.220446049250313e-16 / 2)).alias("max_error"))
 
 
 def centroids(table: DataFrame) -> DataFrame:
     """shape, x, y, z: true centroids times measure: points by number, polylines by length, polygons by area."""
-    n = A.cross(B)
+    n = a_end().cross(b_end())
     size = n.norm()
-    half = F.when(size > 0, 0.5 * angle(A, B) / size).otherwise(0.0)
-    line = edges.true_centroid(A, B)
-    parts = [F.sum(F.when(F.col("dim") == 0, p).when(F.col("dim") == 1, l).otherwise(c * half)).alias(a) for a, p, l, c in zip("xyz", A, line, n, strict=True)]
+    half = F.when(size > 0, 0.5 * angle(a_end(), b_end()) / size).otherwise(0.0)
+    line = edges.true_centroid(a_end(), b_end())
+    parts = [F.sum(F.when(F.col("dim") == 0, p).when(F.col("dim") == 1, l).otherwise(c * half)).alias(a) for a, p, l, c in zip("xyz", a_end(), line, n, strict=True)]
     return table.groupBy("shape").agg(*parts)
 
 
 def surface_integral(table: DataFrame, f, total) -> DataFrame:
     """shape, chain and the sum over each loop's triangles from its first vertex of f(a, b, c), a Column; total: how to add it up (F.sum)."""
     df = _first_vertex(table.where("dim = 2"))
-    return df.where("edge > 0").groupBy("shape", "chain").agg(total(f(Vec.named("__o"), A, B)).alias("integral"))
+    return df.where("edge > 0").groupBy("shape", "chain").agg(total(f(Vec.named("__o"), a_end(), b_end())).alias("integral"))
 
 
 def bounds(table: DataFrame) -> DataFrame:
@@ -173,7 +181,7 @@ def bounds(table: DataFrame) -> DataFrame:
     A chain that goes round a pole has all longitudes; the poles inside polygons are not looked for. Several chains: the
     hull of their longitudes that leaves out the largest gap is not sought; it is that of the widest chain if they nest, else all.
     """
-    high, low = edge_latitudes(A, B)
+    high, low = edge_latitudes(a_end(), b_end())
     step = F.atan2(F.col("ax") * F.col("by") - F.col("ay") * F.col("bx"), F.col("ax") * F.col("bx") + F.col("ay") * F.col("by"))
     df = cells.fenced(table, {"__high": high, "__low": low, "__step": step, "__lng": F.atan2("ay", "ax")})
     own = Window.partitionBy("shape", "chain")
@@ -201,8 +209,8 @@ def contains_vertex(table: DataFrame) -> DataFrame:
     It does if it holds the first step from the vertex in the direction `ortho`: if the next edge counterclockwise from there comes in.
     Edges that go out and come in along the same line cancel.
     """
-    out = table.where("dim = 2").select("shape", A.struct().alias("v"), B.struct().alias("w"), F.lit(1).alias("way"))
-    into = table.where("dim = 2").select("shape", B.struct().alias("v"), A.struct().alias("w"), F.lit(-1).alias("way"))
+    out = table.where("dim = 2").select("shape", a_end().struct().alias("v"), b_end().struct().alias("w"), F.lit(1).alias("way"))
+    into = table.where("dim = 2").select("shape", b_end().struct().alias("v"), a_end().struct().alias("w"), F.lit(-1).alias("way"))
     rays = out.unionByName(into).where("v <> w").groupBy("shape", "v", "w").agg(F.sum("way").alias("way")).where("way <> 0")
     v, w = Vec.of("v"), Vec.of("w")
     ref = ortho(v)
@@ -214,7 +222,7 @@ def contains_vertex(table: DataFrame) -> DataFrame:
 
 def reference_points(table: DataFrame) -> DataFrame:
     """shape, x, y, z, contained: a point and whether the shape holds it: for polygons their first vertex, for others any point, outside."""
-    first = table.groupBy("shape").agg(F.max("dim").alias("dim"), F.min_by(A.struct(), F.struct("chain", "edge")).alias("v"))
+    first = table.groupBy("shape").agg(F.max("dim").alias("dim"), F.min_by(a_end().struct(), F.struct("chain", "edge")).alias("v"))
     held = contains_vertex(table).select("shape", F.struct("x", "y", "z").alias("v"), "contains")
     return first.join(held, ["shape", "v"], "left").select("shape", "v.x", "v.y", "v.z", (F.coalesce("contains", F.lit(False)) & (F.col("dim") == 2)).alias("contained"))
 
@@ -225,7 +233,7 @@ def winding(table: DataFrame, points: DataFrame, q: str = "q_") -> DataFrame:
     points: q + id, x, y, z. Returns q_id, shape, turns (how often the boundary winds round the point, less how often round its antipode).
     """
     p = Vec.named(q)
-    ca, cb = p.cross(A), p.cross(B)
+    ca, cb = p.cross(a_end()), p.cross(b_end())
     seen = F.atan2(p.dot(ca.cross(cb)), ca.dot(cb))
     pairs = points.crossJoin(F.broadcast(table.where("dim = 2")))
     return pairs.groupBy(f"{q}id", "shape").agg(F.rint(F.sum(seen) / (2 * PI)).cast("int").alias("turns"))
@@ -233,7 +241,7 @@ def winding(table: DataFrame, points: DataFrame, q: str = "q_") -> DataFrame:
 
 def to_polyline(table: DataFrame) -> DataFrame:
     """shape, vertices: an array of the vertices of each polyline, for shapes that fit a task."""
-    parts = F.array_sort(F.collect_list(F.struct("chain", "edge", A.struct().alias("a"), B.struct().alias("b"))))
+    parts = F.array_sort(F.collect_list(F.struct("chain", "edge", a_end().struct().alias("a"), b_end().struct().alias("b"))))
     df = table.groupBy("shape").agg(parts.alias("e"))
     last = F.element_at("e", -1)["b"]
     return df.select("shape", F.concat(F.transform("e", lambda x: x["a"]), F.array(last)).alias("vertices"))
@@ -241,6 +249,6 @@ def to_polyline(table: DataFrame) -> DataFrame:
 
 def to_polygon(table: DataFrame) -> DataFrame:
     """shape, loops: an array of each chain's vertices, for shapes that fit a task."""
-    own = table.groupBy("shape", "chain").agg(F.array_sort(F.collect_list(F.struct("edge", A.struct().alias("a")))).alias("e"))
+    own = table.groupBy("shape", "chain").agg(F.array_sort(F.collect_list(F.struct("edge", a_end().struct().alias("a")))).alias("e"))
     loops = F.array_sort(F.collect_list(F.struct("chain", F.transform("e", lambda x: x["a"]).alias("loop"))))
     return own.groupBy("shape").agg(loops.alias("l")).select("shape", F.transform("l", lambda x: x["loop"]).alias("loops"))

@@ -258,7 +258,7 @@ def index_statistics(spark, d):
     """Every edge's middle is in an index cell that lists the edge, and no cell but the deepest has more than eight."""
     t = stars(spark, d)
     index = si.build(t, 8)
-    mid = et.A.plus(et.B).normalized()
+    mid = et.a_end().plus(et.b_end()).normalized()
     mids = t.select((F.col("shape") * 1000 + F.col("edge")).alias("q_id"), F.col("shape").alias("own"), F.col("edge").alias("own_edge"), *[x.alias(f"q_{a}") for x, a in zip(mid, "xyz", strict=True)])
     at = si.locate(index, c.encode(mids, Vec.named("q_"), "q_cell"))
     hit = at.where("own = shape").select("own", "own_edge", F.exists("edges", lambda e: e["edge"] == F.col("own_edge")).alias("hit"))

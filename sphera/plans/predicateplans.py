@@ -27,8 +27,6 @@ def _steps() -> d_.Steps:
     return d_.Steps(f"{d_points('p', 'customer', 'c_custkey')}, q AS (SELECT a.id, {', '.join(f'{n}.{x} AS {n}_{x}' for n in _NAMES for x in 'xyz')} FROM p a {join})", "q")
 
 
-_V = {p: Vec.named(p) for p in _NAMES}
-_A, _B, _C, _E = (_V[p] for p in _NAMES)
 _INT = lambda e: f"({e})::INTEGER"
 
 
@@ -54,9 +52,9 @@ def exact_predicates(spark, d):
     df = four(spark, d)
     one, two, lim = F.lit(1.0), F.lit(1.5), "int"
     return df.select(
-        "id", pr.column(pr.sign, lim, _A, _B, _C).alias("s"), pr.column(pr.compare_distances, lim, _A, _B, _C).alias("distances"), pr.column(pr.compare_distance, lim, _A, _B, two).alias("distance"), pr.column(pr.compare_edge_distance, lim, _A, _B, _C, one).alias("edge_distance"),
-        pr.column(pr.compare_edge_pair_distance, lim, _A, _B, _C, _E, one).alias("pair_distance"), pr.column(pr.compare_edge_directions, lim, _A, _B, _C, _E).alias("directions"), pr.column(pr.sign_dot_prod, lim, _A, _B).alias("dots"),
-        pr.column(pr.circle_edge_intersection_sign, lim, _A, _B, _C, _E).alias("circle"), pr.column(pr.edge_circumcenter_sign, lim, _C, _E, _A, _B, _C).alias("circumcenter"),
+        "id", pr.column(pr.sign, lim, Vec.named("a"), Vec.named("b"), Vec.named("c")).alias("s"), pr.column(pr.compare_distances, lim, Vec.named("a"), Vec.named("b"), Vec.named("c")).alias("distances"), pr.column(pr.compare_distance, lim, Vec.named("a"), Vec.named("b"), two).alias("distance"), pr.column(pr.compare_edge_distance, lim, Vec.named("a"), Vec.named("b"), Vec.named("c"), one).alias("edge_distance"),
+        pr.column(pr.compare_edge_pair_distance, lim, Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("e"), one).alias("pair_distance"), pr.column(pr.compare_edge_directions, lim, Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("e")).alias("directions"), pr.column(pr.sign_dot_prod, lim, Vec.named("a"), Vec.named("b")).alias("dots"),
+        pr.column(pr.circle_edge_intersection_sign, lim, Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("e")).alias("circle"), pr.column(pr.edge_circumcenter_sign, lim, Vec.named("c"), Vec.named("e"), Vec.named("a"), Vec.named("b"), Vec.named("c")).alias("circumcenter"),
     )
 
 
@@ -73,11 +71,11 @@ def degenerate_signs(spark, d):
 @query("robust_cross", _steps().cross("n", "a", "b").sql("SELECT id, " + ", ".join(f"{d_r6(f'n_{x} / sqrt(n_x*n_x + n_y*n_y + n_z*n_z)')} AS {x}" for x in "xyz") + ", true AS unit FROM _"))
 def robust_cross(spark, d):
     """Normals of two points; `unit`: that of a point and itself moved by 1e-12 is at right angles to it, and of unit length."""
-    df = four(spark, d).withColumn("n", pr.column(pr.robust_cross_prod, "array<double>", _A, _B))
-    near = Vec(_A.x + 1e-12, _A.y, _A.z)
-    df = df.withColumn("m", pr.column(pr.robust_cross_prod, "array<double>", _A, near))
+    df = four(spark, d).withColumn("n", pr.column(pr.robust_cross_prod, "array<double>", Vec.named("a"), Vec.named("b")))
+    near = Vec(Vec.named("a").x + 1e-12, Vec.named("a").y, Vec.named("a").z)
+    df = df.withColumn("m", pr.column(pr.robust_cross_prod, "array<double>", Vec.named("a"), near))
     m = Vec(*[F.col("m")[i] for i in range(3)])
-    return df.select("id", *[r6(F.col("n")[i]).alias("xyz"[i]) for i in range(3)], ((F.abs(m.dot(_A)) < 1e-3) & (F.abs(m.norm2() - 1) < 1e-9)).alias("unit"))
+    return df.select("id", *[r6(F.col("n")[i]).alias("xyz"[i]) for i in range(3)], ((F.abs(m.dot(Vec.named("a"))) < 1e-3) & (F.abs(m.norm2() - 1) < 1e-9)).alias("unit"))
 
 
 @query("circle_crossing_order", _steps().cross("n", "a", "b").cross("m", "b", "c").sql(
@@ -85,7 +83,7 @@ def robust_cross(spark, d):
 ))
 def circle_crossing_order(spark, d):
     """Of the edges ab and bc: which meets the circle about e on which side of the other, as seen from a."""
-    return four(spark, d).select("id", pr.column(pr.circle_edge_intersection_ordering, "int", _A, _B, _B, _C, _A, _E).alias("which"))
+    return four(spark, d).select("id", pr.column(pr.circle_edge_intersection_ordering, "int", Vec.named("a"), Vec.named("b"), Vec.named("b"), Vec.named("c"), Vec.named("a"), Vec.named("e")).alias("which"))
 
 
 @query("voronoi_exclusion", "SELECT o_orderkey::BIGINT AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'FIRST' WHEN o_orderkey % 3 = 1 THEN 'SECOND' ELSE 'NEITHER' END AS excluded FROM orders WHERE o_orderkey <= 1000")
@@ -116,7 +114,7 @@ def vertex_crossings(spark, d):
         agree = all(abs(pr.signed_edge_or_vertex_crossing(*e, *f)) == pr.edge_or_vertex_crossing(*e, *f) for e in loop for f in ((two, v), (v, far)))
         return f"{held},{agree},{passes % 2 if between else 1}"
 
-    found = F.split(pr.column(pr.by_row(check), "string", _A, _B, _C, _E), ",")
+    found = F.split(pr.column(pr.by_row(check), "string", Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("e")), ",")
     return four(spark, d).select("id", found[0].cast("bigint").alias("holders"), (found[1] == "True").alias("agree"), found[2].cast("bigint").alias("passes"))
 
 
@@ -135,15 +133,15 @@ def wedge_relations(spark, d):
     """Wedges at a whose rays are b, c, e in counterclockwise order: the one from b to e against itself and that from b to c, and the other way round."""
     df = four(spark, d)
     # the wedge left of first-a-last runs counterclockwise from the last ray to the first
-    order = cl.turn_from(_A, _B, _C) < cl.turn_from(_A, _B, _E)
-    return df.where(order).select("id", cl.wedge_relation(_E, _A, _B, _E, _B).alias("same"), cl.wedge_relation(_E, _A, _B, _C, _B).alias("part"), cl.wedge_relation(_C, _A, _B, _E, _B).alias("rest"), cl.wedge_contains(_E, _A, _B, _C, _B).alias("holds"), cl.wedge_intersects(_E, _A, _B, _C, _B).alias("meets"))
+    order = cl.turn_from(Vec.named("a"), Vec.named("b"), Vec.named("c")) < cl.turn_from(Vec.named("a"), Vec.named("b"), Vec.named("e"))
+    return df.where(order).select("id", cl.wedge_relation(Vec.named("e"), Vec.named("a"), Vec.named("b"), Vec.named("e"), Vec.named("b")).alias("same"), cl.wedge_relation(Vec.named("e"), Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("b")).alias("part"), cl.wedge_relation(Vec.named("c"), Vec.named("a"), Vec.named("b"), Vec.named("e"), Vec.named("b")).alias("rest"), cl.wedge_contains(Vec.named("e"), Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("b")).alias("holds"), cl.wedge_intersects(Vec.named("e"), Vec.named("a"), Vec.named("b"), Vec.named("c"), Vec.named("b")).alias("meets"))
 
 
 @query("wedge_disjoint", _wedge_sql().sql("SELECT id, 'IS_DISJOINT' AS apart, 'PROPERLY_OVERLAPS' AS mixed, false AS meets FROM _ WHERE c2 < e2"))
 def wedge_disjoint(spark, d):
     """Of the same rays: b to c against c to e share a ray only; b to e against c to b overlap."""
-    df = four(spark, d).where(cl.turn_from(_A, _B, _C) < cl.turn_from(_A, _B, _E))
-    return df.select("id", cl.wedge_relation(_C, _A, _B, _E, _C).alias("apart"), cl.wedge_relation(_E, _A, _B, _B, _C).alias("mixed"), cl.wedge_intersects(_C, _A, _B, _E, _C).alias("meets"))
+    df = four(spark, d).where(cl.turn_from(Vec.named("a"), Vec.named("b"), Vec.named("c")) < cl.turn_from(Vec.named("a"), Vec.named("b"), Vec.named("e")))
+    return df.select("id", cl.wedge_relation(Vec.named("c"), Vec.named("a"), Vec.named("b"), Vec.named("e"), Vec.named("c")).alias("apart"), cl.wedge_relation(Vec.named("e"), Vec.named("a"), Vec.named("b"), Vec.named("b"), Vec.named("c")).alias("mixed"), cl.wedge_intersects(Vec.named("c"), Vec.named("a"), Vec.named("b"), Vec.named("e"), Vec.named("c")).alias("meets"))
 
 
 # --- clipping ---------------------------------------------------------------------------------------
@@ -173,7 +171,7 @@ def clip_edges(spark, d):
 )
 def face_segments(spark, d):
     """The first and last faces of the edges between customers, by their segments."""
-    df = cl.face_segments(four(spark, d).where("id % 5 = 0").select("id", *[f"{p}{x}" for p in "ab" for x in "xyz"]), _A, _B)
+    df = cl.face_segments(four(spark, d).where("id % 5 = 0").select("id", *[f"{p}{x}" for p in "ab" for x in "xyz"]), Vec.named("a"), Vec.named("b"))
     s = F.col("segment")
     return df.groupBy("id").agg(F.min_by(s["face"], s["number"]).alias("first"), F.max_by(s["face"], s["number"]).alias("last"))
 
@@ -183,9 +181,9 @@ def face_clips(spark, d):
     """An edge cut to the face of its first point, padded, begins at that point's coordinates."""
     df = points(spark, d, "customer", "c_custkey")
     nxt = df.select((F.col("id") - 1).alias("id"), *[F.col(x).alias(f"b{x}") for x in "xyz"])
-    df = df.select("id", *[F.col(x).alias(f"a{x}") for x in "xyz"]).join(nxt, "id").withColumn("face", c.face_of(_A))
-    part = cl.clip_to_face(F.col("face"), _A, _B, 1e-9)
-    (u0, v0), _ = cl.clipped_ends(F.col("face"), _A, _B, part)
+    df = df.select("id", *[F.col(x).alias(f"a{x}") for x in "xyz"]).join(nxt, "id").withColumn("face", c.face_of(Vec.named("a")))
+    part = cl.clip_to_face(F.col("face"), Vec.named("a"), Vec.named("b"), 1e-9)
+    (u0, v0), _ = cl.clipped_ends(F.col("face"), Vec.named("a"), Vec.named("b"), part)
     return df.where(part.exists()).select("id", r6(u0).alias("u0"), r6(v0).alias("v0"))
 
 
@@ -207,6 +205,6 @@ def distance_limits(spark, d):
     from sphera.functions.points import chord2
 
     return four(spark, d).select(
-        "id", cl.is_distance_less(_C, _A, _B, 0.8).alias("less"), cl.is_interior_distance_less(_C, _A, _B, 0.8).alias("inner_less"), r6(cl.min_distance_update(_C, _A, _B, F.lit(1.0))).alias("updated"),
-        r6(cl.min_interior_distance_update(_C, _A, _B, F.lit(1.0))).alias("inner_updated"), (4.5 * 2.220446049250313e-16 * chord2(_A, _B) < 2e-15).alias("bounded"),
+        "id", cl.is_distance_less(Vec.named("c"), Vec.named("a"), Vec.named("b"), 0.8).alias("less"), cl.is_interior_distance_less(Vec.named("c"), Vec.named("a"), Vec.named("b"), 0.8).alias("inner_less"), r6(cl.min_distance_update(Vec.named("c"), Vec.named("a"), Vec.named("b"), F.lit(1.0))).alias("updated"),
+        r6(cl.min_interior_distance_update(Vec.named("c"), Vec.named("a"), Vec.named("b"), F.lit(1.0))).alias("inner_updated"), (4.5 * 2.220446049250313e-16 * chord2(Vec.named("a"), Vec.named("b")) < 2e-15).alias("bounded"),
     )
