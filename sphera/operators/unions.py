@@ -83,7 +83,8 @@ def denormalize(df: DataFrame, min_level: int, level_mod: int = 1, cell: str = "
     at = F.greatest(F.lit(min_level), cells.level(F.col(cell)))
     up = F.least(F.lit(30), at + F.pmod(min_level - at, F.lit(level_mod)))
     df = df.withColumn("__n", cells.lsb_for_level(up))
-    low, high = cells.range_min(F.col(cell)) - 1 + F.col("__n"), cells.range_max(F.col(cell)) + 1 - F.col("__n")
+    # the last leaf of face 3 is the largest bigint, the first of face 4 next to the least: no sum may go beyond them
+    low, high = cells.range_min(F.col(cell)) + (F.col("__n") - 1), cells.range_max(F.col(cell)) - (F.col("__n") - 1)
     out = F.explode_outer(F.sequence(low, high, F.shiftleft("__n", 1)))
     return df.withColumn("__c", out).withColumn(cell, F.col("__c")).drop("__c", "__n")
 

@@ -142,7 +142,7 @@ _PAIRS = f"{_STARS}, pq AS (SELECT l.shape AS s1, l.edge AS e1, r.shape AS s2, r
 _SG = lambda p, q, r: f"sign({d_.triple(p, q, r)})"
 
 
-@query("crossing_edge_pairs", f"WITH {_PAIRS} SELECT s1, e1, s2, e2 FROM pq WHERE {_SG('a', 'b', 'c')} * {_SG('a', 'b', 'e')} < 0 AND {_SG('c', 'e', 'a')} * {_SG('c', 'e', 'b')} < 0 AND {_SG('a', 'b', 'c')} = {_SG('c', 'e', 'b')}")
+@query("crossing_edge_pairs", f"WITH {_PAIRS} SELECT s1, e1, s2, e2 FROM pq WHERE NOT (a_x = c_x AND a_y = c_y AND a_z = c_z) AND NOT (a_x = e_x AND a_y = e_y AND a_z = e_z) AND NOT (b_x = c_x AND b_y = c_y AND b_z = c_z) AND NOT (b_x = e_x AND b_y = e_y AND b_z = e_z) AND {_SG('a', 'b', 'c')} * {_SG('a', 'b', 'e')} < 0 AND {_SG('c', 'e', 'a')} * {_SG('c', 'e', 'b')} < 0 AND {_SG('a', 'b', 'c')} = {_SG('c', 'e', 'b')}")
 def crossing_edge_pairs(spark, d):
     """All pairs of the stars' edges that cross, by the index."""
     pairs = si.crossing_pairs(si.build(stars(spark, d), 8))

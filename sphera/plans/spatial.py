@@ -66,7 +66,7 @@ def union_measures(spark, d):
     return m.select("k", "cells", F.col("leaf_count").cast("string").alias("leaf_count"), r6(F.col("area")).alias("area"))
 
 
-@query("union_denormalize", f"WITH {_PARTS}, m AS (SELECT id, cell, bit, (1::BIGINT << (2 * (30 - greatest({d_level('cell')}, 6) - greatest({d_level('cell')}, 6) % 2))::BIGINT) AS b FROM t WHERE p_size < 5), r AS (SELECT id, cell - (bit - 1) - 1 + b AS lo, b, bit // b AS n FROM m) SELECT id, lo + i * 2 * b AS cell FROM r, range(4096) q(i) WHERE i < n")
+@query("union_denormalize", f"WITH {_PARTS}, m AS (SELECT id, cell, bit, (1::BIGINT << (2 * (30 - greatest({d_level('cell')}, 6) - greatest({d_level('cell')}, 6) % 2))::BIGINT) AS b FROM t), r AS (SELECT id, cell - (bit - 1) - 1 + b AS lo, b, bit // b AS n FROM m) SELECT id, lo + i * 2 * b AS cell FROM r, range(4096) q(i) WHERE i < n")
 def union_denormalize(spark, d):
     return unions.denormalize(part_cells(spark, d).select("id", "cell"), 6, 2)
 
@@ -101,7 +101,7 @@ def union_contains(spark, d):
     return unions.contains(held, probes, ["one"], "cell", "leaf").select("id", "contained")
 
 
-@query("cells_from_range", f"WITH {_C}, r AS (SELECT id % 10 AS k, min(cell) AS lo, max(cell) AS hi FROM c WHERE face < 4 GROUP BY 1), l AS (SELECT k, lo // 2 AS a, hi // 2 + 1 AS b FROM r) SELECT k, (b - a)::VARCHAR AS leaves FROM l")
+@query("cells_from_range", f"WITH {_C}, r AS (SELECT id % 10 AS k, min(u) AS lo, max(u) AS hi FROM (SELECT id, CASE WHEN cell < 0 THEN cell::HUGEINT + 18446744073709551616 ELSE cell::HUGEINT END AS u FROM c) x GROUP BY 1), l AS (SELECT k, lo // 2 AS a, hi // 2 + 1 AS b FROM r) SELECT k, (b - a)::VARCHAR AS leaves FROM l")
 def cells_from_range(spark, d):
     df = cell_points(spark, d, "customer", "c_custkey")
     # ids are unsigned: those of faces 4 and 5 are negative as bigint
@@ -407,7 +407,7 @@ _EDGES = "ed AS (SELECT id, lat, lng, lng + 1 + (id + 1) % 5 AS lng2, lat + 2 AS
 _S3 = lambda a, b, p: f"({p}x*({a}y*{b}z-{a}z*{b}y) + {p}y*({a}z*{b}x-{a}x*{b}z) + {p}z*({a}x*{b}y-{a}y*{b}x))"
 
 
-@query("crossing_edges_join", f"WITH {d_points('sp', 'orders', 'o_orderkey')}, {_EDGES}, w AS (SELECT a.id AS a, b.id AS b, a.ax, a.ay, a.az, a.bx, a.by, a.bz, b.ax AS cx, b.ay AS cy, b.az AS cz, b.bx AS dx, b.by AS dy, b.bz AS dz FROM v a JOIN v b ON a.id < b.id AND power(a.ax - b.ax, 2) + power(a.ay - b.ay, 2) + power(a.az - b.az, 2) < 0.1 WHERE a.id < 3000 AND b.id < 3000) SELECT a, b FROM w WHERE sign({_S3('a', 'b', 'c')}) * sign({_S3('a', 'b', 'd')}) < 0 AND sign({_S3('c', 'd', 'a')}) * sign({_S3('c', 'd', 'b')}) < 0")
+@query("crossing_edges_join", f"WITH {d_points('sp', 'orders', 'o_orderkey')}, {_EDGES}, w AS (SELECT a.id AS a, b.id AS b, a.ax, a.ay, a.az, a.bx, a.by, a.bz, b.ax AS cx, b.ay AS cy, b.az AS cz, b.bx AS dx, b.by AS dy, b.bz AS dz FROM (SELECT *, floor(degrees(asin(az)) / 4) AS band, unnest([-1, 0, 1]) AS step FROM v) a JOIN (SELECT *, floor(degrees(asin(az)) / 4) AS band FROM v) b ON b.band = a.band + a.step AND a.id < b.id AND power(a.ax - b.ax, 2) + power(a.ay - b.ay, 2) + power(a.az - b.az, 2) < 0.1) SELECT a, b FROM w WHERE sign({_S3('a', 'b', 'c')}) * sign({_S3('a', 'b', 'd')}) < 0 AND sign({_S3('c', 'd', 'a')}) * sign({_S3('c', 'd', 'b')}) < 0")
 def crossing_edges_join(spark, d):
     """Pairs of short edges that cross: candidates by the distance of their first ends, then the signs."""
     from sphera.functions import edges as e
