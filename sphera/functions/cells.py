@@ -337,6 +337,22 @@ def end(at: int) -> int:
     return (_END | begin(at)) - (1 << 64)
 
 
+def child_begin(cell: Column, at: Column | int) -> Column:
+    """The first descendant on a level."""
+    return range_min(cell) + (lsb_for_level(at) - 1)
+
+
+def child_end(cell: Column, at: Column | int) -> Column:
+    """What follows the last descendant on a level, perhaps no cell."""
+    return next_cell(range_max(cell) - (lsb_for_level(at) - 1))
+
+
+def to_bytes(cell: Column) -> Column:
+    """Eight bytes, least first."""
+    digits = F.lpad(F.hex(cell), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
+
+
 def common_ancestor_level(a: Column, b: Column) -> Column:
     """-1 for different faces."""
     bits = F.greatest(_top(a.bitwiseXOR(b)), _top(lsb(a)), _top(lsb(b)))
@@ -407,6 +423,39 @@ def size_ij(at: Column | int) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), (MAX_LEVEL - at).cast("int"))
 
 
+def ij_to_st_min(ij: Column) -> Column:
+    """Where leaf cell number ij begins."""
+    return ij / float(SIZE)
+
+
+def siti_to_st(si: Column) -> Column:
+    return si / float(2 * SIZE)
+
+
+def st_to_siti(s: Column) -> Column:
+    """The nearest of the 2**31 + 1 positions that cell centres and corners have."""
+    return F.rint(s * float(2 * SIZE)).cast("bigint")
+
+
+def face_siti(df: DataFrame, point: Vec, prefix: str = "") -> DataFrame:
+    """df with prefix + face, si, ti of each point, and prefix + level: the level of which it is a cell's centre (to rounding), or -1."""
+    df = df.withColumn("__f", face_of(point))
+    u, v = face_uv(F.col("__f"), point)
+    df = fenced(df, {"__si": st_to_siti(uv_to_st(u)), "__ti": st_to_siti(uv_to_st(v))})
+    zeros = lambda c: F.bit_count(c.bitwiseAND(F.bitwise_not(c) + 1) - 1)
+    same = zeros(F.col("__si").bitwiseOR(F.lit(1 << 31))) == zeros(F.col("__ti").bitwiseOR(F.lit(1 << 31)))
+    own = F.when(same, MAX_LEVEL - zeros(F.col("__si").bitwiseOR(F.lit(1 << 31)))).otherwise(-1)
+    df = df.withColumn("__c", face_uv_to_xyz(F.col("__f"), st_to_uv(siti_to_st(F.col("__si"))), st_to_uv(siti_to_st(F.col("__ti")))).struct())
+    center = Vec.of("__c").normalized()
+    near = F.abs(center.x - point.x) + F.abs(center.y - point.y) + F.abs(center.z - point.z) < 1e-15
+    return fenced(df, {f"{prefix}face": F.col("__f"), f"{prefix}si": F.col("__si"), f"{prefix}ti": F.col("__ti"), f"{prefix}level": F.when(near & (own >= 0), own).otherwise(-1)}, "__f", "__si", "__ti", "__c")
+
+
+def face_siti_to_xyz(face_: Column, si: Column, ti: Column) -> Vec:
+    """Not normalized."""
+    return face_uv_to_xyz(face_, st_to_uv(siti_to_st(si)), st_to_uv(siti_to_st(ti)))
+
+
 def size_st(at: Column | int) -> Column:
     return size_ij(at) / float(SIZE)
 

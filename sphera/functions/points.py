@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6371010.0
 EARTH_LOWEST_M = -10898.0
 EARTH_HIGHEST_M = 8848.0
+EARTH_LOWEST_M = -10898.0
 EPSILON = 2.220446049250313e-16
 MAX_LENGTH2 = 4.0
 
@@ -183,6 +184,18 @@ def chord2_plus_error(length2: Column, error: Column | float) -> Column:
     return F.when(chord2_is_special(length2), length2).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(MAX_LENGTH2), length2 + error)))
 
 
+def chord2_successor(length2: Column) -> Column:
+    """The next larger chord: of a negative one 0, beyond half a turn infinity."""
+    up = F.java_method(F.lit("java.lang.Math"), F.lit("nextUp"), length2).cast("double")
+    return F.when(length2 < 0, 0.0).when(length2 >= 4, float("inf")).otherwise(up)
+
+
+def chord2_predecessor(length2: Column) -> Column:
+    """The next smaller chord: of infinity half a turn, below 0 negative."""
+    down = F.java_method(F.lit("java.lang.Math"), F.lit("nextDown"), length2).cast("double")
+    return F.when(length2 <= 0, -1.0).when(length2 > 4, 4.0).otherwise(down)
+
+
 def chord2_point_error(length2: Column) -> Column:
     """Largest error of chord2 for points that are unit length to within rounding."""
     return 4.5 * EPSILON * length2 + 16 * EPSILON * EPSILON

@@ -122,6 +122,154 @@ class LoopRegion:
         return contains_loop(list(self.loop), vertices(cell))
 
 
+@dataclass(frozen=True)
+class PointRegion:
+    point: Point
+
+    def may_intersect(self, cell: int) -> bool:
+        c = cell_at(self.point)
+        return abs(c - cell) < lsb(cell)
+
+    def contains_cell(self, cell: int) -> bool:
+        return False
+
+    def cap_bound(self) -> tuple[Point, float]:
+        return self.point, 0.0
+
+
+@dataclass(frozen=True)
+class CellRegion:
+    cell: int
+
+    def may_intersect(self, cell: int) -> bool:
+        a, b = (cell, self.cell) if lsb(cell) > lsb(self.cell) else (self.cell, cell)
+        return abs(a - b) < lsb(a)
+
+    def contains_cell(self, cell: int) -> bool:
+        return lsb(cell) <= lsb(self.cell) and abs(cell - self.cell) < lsb(self.cell)
+
+    def cap_bound(self) -> tuple[Point, float]:
+        mid = center(self.cell)
+        return mid, max(angle(mid, v) for v in vertices(self.cell))
+
+
+@dataclass(frozen=True)
+class RectRegion:
+    """Between two latitudes and, going east, two longitudes, in radians."""
+
+    lat_lo: float
+    lat_hi: float
+    lng_lo: float
+    lng_hi: float
+
+    def _holds(self, p: Point) -> bool:
+        lat, lng = math.atan2(p[2], math.hypot(p[0], p[1])), math.atan2(p[1], p[0])
+        width = (self.lng_hi - self.lng_lo) % (2 * math.pi) if self.lng_hi - self.lng_lo < 2 * math.pi else 2 * math.pi
+        return self.lat_lo <= lat <= self.lat_hi and (lng - self.lng_lo) % (2 * math.pi) <= width
+
+    def _corners(self) -> list[Point]:
+        return [unit((math.cos(b) * math.cos(a), math.sin(b) * math.cos(a), math.sin(a))) for a in (self.lat_lo, self.lat_hi) for b in (self.lng_lo, self.lng_hi)]
+
+    def may_intersect(self, cell: int) -> bool:
+        """Conservative: a corner in the cell, a vertex or the centre in the rectangle, or the cap of one near that of the other."""
+        corners = vertices(cell)
+        if any(self._holds(v) for v in [*corners, center(cell)]) or any(contains(corners, p) for p in self._corners()):
+            return True
+        mid, radius = self.cap_bound()
+        own, reach = CellRegion(cell).cap_bound()
+        return angle(mid, own) <= radius + reach
+
+    def contains_cell(self, cell: int) -> bool:
+        corners = vertices(cell)
+        # an edge may bulge towards a pole beyond its ends by no more than this
+        bulge = max(angle(a, b) for a, b in edges(corners)) ** 2
+        inner = RectRegion(self.lat_lo + bulge, self.lat_hi - bulge, self.lng_lo, self.lng_hi)
+        return all(inner._holds(v) for v in corners)
+
+    def cap_bound(self) -> tuple[Point, float]:
+        lat, lng = (self.lat_lo + self.lat_hi) / 2, self.lng_lo + ((self.lng_hi - self.lng_lo) % (2 * math.pi)) / 2
+        mid = unit((math.cos(lng) * math.cos(lat), math.sin(lng) * math.cos(lat), math.sin(lat)))
+        return mid, max(angle(mid, p) for p in self._corners()) if (self.lng_hi - self.lng_lo) % (2 * math.pi) <= math.pi else math.pi
+
+
+@dataclass(frozen=True)
+class UnionRegion:
+    """Whatever is in one of the parts."""
+
+    parts: tuple
+
+    def added(self, part) -> UnionRegion:
+        return UnionRegion((*self.parts, part))
+
+    def may_intersect(self, cell: int) -> bool:
+        return any(p.may_intersect(cell) for p in self.parts)
+
+    def contains_cell(self, cell: int) -> bool:
+        return any(p.contains_cell(cell) for p in self.parts)
+
+
+@dataclass(frozen=True)
+class IntersectionRegion:
+    """Whatever is in all of the parts."""
+
+    parts: tuple
+
+    def may_intersect(self, cell: int) -> bool:
+        return all(p.may_intersect(cell) for p in self.parts)
+
+    def contains_cell(self, cell: int) -> bool:
+        return all(p.contains_cell(cell) for p in self.parts)
+
+
+@dataclass(frozen=True)
+class BufferedRegion:
+    """All within an angle of loops."""
+
+    loops: tuple[tuple[Point, ...], ...]
+    radius: float
+
+    def _distance(self, corners: list[Point]) -> float:
+        own = edges(corners)
+        return min(min(distance_to_edge(v, c, d), distance_to_edge(c, a, b)) for loop in self.loops for c, d in edges(list(loop)) for a, b in own for v in (a,))
+
+    def may_intersect(self, cell: int) -> bool:
+        corners = vertices(cell)
+        return any(LoopRegion(loop).may_intersect(cell) for loop in self.loops) or self._distance(corners) <= self.radius
+
+    def contains_cell(self, cell: int) -> bool:
+        corners = vertices(cell)
+        mid, reach = CellRegion(cell).cap_bound()
+        near = min(distance_to_edge(mid, a, b) for loop in self.loops for a, b in edges(list(loop)))
+        return any(LoopRegion(loop).contains_cell(cell) for loop in self.loops) or (near + reach <= self.radius and bool(corners))
+
+    def covering(self, max_cells: int = 8) -> list[int]:
+        return cover(self, max_cells)
+
+
+def fast_cover(cap: CapRegion) -> list[int]:
+    """At most four cells that hold a cap: those about the vertex nearest its centre on the finest level wide enough; all faces if it is too wide."""
+    from sphera.operators.nearest import level_for_radius
+
+    at = level_for_radius(cap.radius)
+    if at < 1:
+        return [(face << 61) + (1 << 60) for face in range(6)]
+    found = [c for c in _block(cap.center, at) if cap.may_intersect(c)]
+    return sorted(set(found))
+
+
+def _block(p: Point, at: int) -> list[int]:
+    """The cells of a level about a point: its own and those that points about a cell's width away are in."""
+    own = cell_at(p, at)
+    out = {own}
+    for v in vertices(own):
+        away = unit(tuple(2 * a - b for a, b in zip(v, center(own), strict=True)))
+        out.add(cell_at(away, at))
+    for a, b in edges(vertices(own)):
+        m = unit(tuple(s + t for s, t in zip(a, b, strict=True)))
+        out.add(cell_at(unit(tuple(2 * s - t for s, t in zip(m, center(own), strict=True))), at))
+    return sorted(out)
+
+
 def cover(region, max_cells: int = 8, min_level: int = 0, max_level: int = MAX_LEVEL, level_mod: int = 1, interior: bool = False) -> list[int]:
     """Sorted unsigned ids. Larger cells are refined first; among equals those with fewer intersecting, then fewer contained children.
 

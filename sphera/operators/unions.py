@@ -121,3 +121,79 @@ def expand(df: DataFrame, keys: list[str], at: int, cell: str = "cell") -> DataF
     df = df.select(*keys, F.when(cells.level(F.col(cell)) > at, cells.parent(F.col(cell), at)).otherwise(F.col(cell)).alias(cell)).distinct()
     near = cells.all_neighbors(df, at, cell, "__n").select(*keys, F.col("__n").alias(cell))
     return normalize(df.unionByName(near), keys, cell)
+
+
+# --- properties of unions -----------------------------------------------------------------------------
+
+
+def validity(df: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+    """keys, valid (real cells, none of which holds another), normalized (valid, and no four siblings)."""
+    order = Window.partitionBy(*keys).orderBy("__low", F.desc("__size"))
+    rows = df.select(*keys, F.col(cell).alias("__c"), first_leaf(F.col(cell)).alias("__low"), leaves(F.col(cell)).alias("__size"))
+    rows = rows.withColumn("__end", F.max(F.col("__low") + F.col("__size")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    valid = cells.is_valid(F.col("__c")) & F.coalesce(F.col("__end") <= F.col("__low"), F.lit(True))
+    four = rows.where(~cells.is_face(F.col("__c"))).groupBy(*keys, cells.parent(F.col("__c")).alias("__up")).agg(F.countDistinct("__c").alias("__k"))
+    whole = four.groupBy(*keys).agg((F.max("__k") == 4).alias("__four"))
+    out = rows.groupBy(*keys).agg(F.min(valid).alias("valid")).join(whole, keys, "left")
+    return out.select(*keys, "valid", (F.col("valid") & ~F.coalesce("__four", F.lit(False))).alias("normalized"))
+
+
+def areas(df: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+    """keys, exact_area, approx_area, average_area of disjoint cells."""
+    from sphera.functions.cellshape import CellShape, with_shape
+
+    s = CellShape.of("__shape")
+    each = with_shape(df.select(*keys, F.col(cell).alias("__c")), "__c", "__shape").select(*keys, s.exact_area().alias("e"), s.approx_area().alias("a"), s.average_area().alias("g"))
+    return each.groupBy(*keys).agg(F.sum("e").alias("exact_area"), F.sum("a").alias("approx_area"), F.sum("g").alias("average_area"))
+
+
+def cap_bounds(df: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+    """keys, x, y, z, length2: a cap about the middle of the cells, weighted by area, that holds all their vertices."""
+    from sphera.functions.cellshape import CellShape, with_shape
+    from sphera.functions.points import Vec, chord2
+
+    s = CellShape.of("__shape")
+    each = with_shape(df.select(*keys, F.col(cell).alias("__c")), "__c", "__shape")
+    each = each.select(*keys, s.average_area().alias("w"), s.mid.struct().alias("m"), F.col("__shape.vertices").alias("v"))
+    mid = each.groupBy(*keys).agg(*[F.sum(F.col("m")[a] * F.col("w")).alias(f"s{a}") for a in "xyz"])
+    unit = Vec.named("s").normalized()
+    mid = cells.fenced(mid, {"c": F.when(Vec.named("s").norm2() > 1e-20, unit.struct()).otherwise(Vec.lit(1, 0, 0).struct())})
+    far = F.array_max(F.transform("v", lambda p: chord2(Vec.of("c"), Vec.of(p))))
+    return each.join(mid.select(*keys, "c"), keys).groupBy(*keys, "c").agg(F.max(far).alias("length2")).select(*keys, "c.x", "c.y", "c.z", "length2")
+
+
+def rect_bounds(df: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
+    """keys, lat_lo, lat_hi, lng_lo, lng_hi: all latitudes, and the longitudes without the widest gap between cells."""
+    from sphera.functions.cellshape import CellShape, with_shape
+
+    two_pi = 6.283185307179586
+    r = CellShape.of("__shape").rect_bound()
+    each = with_shape(df.select(*keys, F.col(cell).alias("__c")), "__c", "__shape")
+    each = cells.fenced(each, {"b": F.struct(r.lat.lo.alias("s"), r.lat.hi.alias("n"), r.lng.lo.alias("w"), r.lng.length().alias("l"))}).select(*keys, "b.*")
+    order = Window.partitionBy(*keys).orderBy("w", F.desc("l"))
+    # walking east, how far all before reach; the gap before each, and that from the last round to the first
+    run = each.withColumn("east", F.max(F.col("w") + F.col("l")).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    ends = each.groupBy(*keys).agg(F.min("w").alias("first"), F.max(F.col("w") + F.col("l")).alias("last"), F.min("s").alias("lat_lo"), F.max("n").alias("lat_hi"), F.max("l").alias("widest"))
+    gaps = run.where("east is not null and w > east").groupBy(*keys).agg(F.max(F.struct((F.col("w") - F.col("east")).alias("gap"), "w", "east")).alias("g"))
+    out = ends.join(gaps, keys, "left")
+    round_ = F.col("first") + two_pi - F.col("last")
+    full = (F.col("widest") >= two_pi) | ((round_ <= 0) & F.col("g").isNull())
+    inner = F.col("g.gap") > F.greatest(round_, F.lit(0.0))
+    turned = lambda x: F.atan2(F.sin(x), F.cos(x))
+    lo = F.when(full, -two_pi / 2).when(inner, turned(F.col("g.w"))).otherwise(turned(F.col("first")))
+    hi = F.when(full, two_pi / 2).when(inner, turned(F.col("g.east"))).otherwise(turned(F.col("last")))
+    return out.select(*keys, "lat_lo", "lat_hi", lo.alias("lng_lo"), hi.alias("lng_hi"))
+
+
+def expanded(df: DataFrame, keys: list[str], radians: float, max_level_diff: int, cell: str = "cell") -> DataFrame:
+    """keys, cell: with all cells within about an angle: neighbours on the finest level as wide as the angle, but no more than max_level_diff below a union's largest cell."""
+    from sphera.operators.nearest import level_for_radius
+
+    wide = max(0, min(30, level_for_radius(radians / 2))) if radians > 0 else 30
+    top = df.groupBy(*keys).agg(F.min(cells.level(F.col(cell))).alias("__top"))
+    rows = df.join(top, keys).withColumn("__at", F.least(F.lit(wide), F.col("__top") + max_level_diff))
+    out = df.select(*keys, F.col(cell).alias("cell"))
+    for at in [r[0] for r in rows.select("__at").distinct().collect()]:  # at most 31 numbers
+        own = rows.where(F.col("__at") == at).select(*keys, F.when(cells.level(F.col(cell)) > at, cells.parent(F.col(cell), int(at))).otherwise(F.col(cell)).alias("__c")).distinct()
+        out = out.unionByName(cells.all_neighbors(own, int(at), "__c", "cell").select(*keys, "cell")) if at > 0 else out
+    return out.distinct()

@@ -255,14 +255,18 @@ def edge_pairs_closest_points(spark, d):
 
 @query("index_statistics", f"WITH {_STARS} SELECT shape, edge, true AS found FROM se")
 def index_statistics(spark, d):
-    """Every edge's middle is in an index cell that lists the edge, and no cell but the deepest has more than eight."""
+    """Every edge's middle is in an index cell that lists the edge, and no cell but the deepest has more than eight that are shorter than itself."""
     t = stars(spark, d)
     index = si.build(t, 8)
     mid = et.a_end().plus(et.b_end()).normalized()
     mids = t.select((F.col("shape") * 1000 + F.col("edge")).alias("q_id"), F.col("shape").alias("own"), F.col("edge").alias("own_edge"), *[x.alias(f"q_{a}") for x, a in zip(mid, "xyz", strict=True)])
     at = si.locate(index, c.encode(mids, Vec.named("q_"), "q_cell"))
     hit = at.where("own = shape").select("own", "own_edge", F.exists("edges", lambda e: e["edge"] == F.col("own_edge")).alias("hit"))
-    most = index.groupBy("cell").agg(F.sum(F.size("edges")).alias("n")).where((F.col("n") > 8) & (c.level(F.col("cell")) < si.MAX_LEVEL))
+    from sphera.functions.points import angle
+
+    size = F.expr("1.459213746386106") * F.pow(F.lit(2.0), -c.level(F.col("cell")))
+    short = F.filter("edges", lambda e: angle(Vec(e["ax"], e["ay"], e["az"]), Vec(e["bx"], e["by"], e["bz"])) < size)
+    most = index.groupBy("cell").agg(F.sum(F.size(short)).alias("n")).where((F.col("n") > 8) & (c.level(F.col("cell")) < si.MAX_LEVEL))
     full = most.agg((F.count("*") == 0).alias("ok"))
     return hit.groupBy("own", "own_edge").agg(F.max("hit").alias("hit")).crossJoin(full).select(F.col("own").alias("shape"), F.col("own_edge").cast("bigint").alias("edge"), (F.col("hit") & F.col("ok")).alias("found"))
 
