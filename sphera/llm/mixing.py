@@ -102,14 +102,16 @@ def source_key(source: str) -> Column:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", block_docs: int = BLOCK_DOCS, order: str = "doc_id") -> DataFrame:
     """docs with the columns of MIX: block of its source, slot, place in the block, release and deadline of the block.
 
-    Within a source rows go by a hash of `order`, then by all their columns; rows that are equal in every
+    Within a source rows go by a hash of all their columns, then by a hash of `order`; rows that are equal in every
     column may swap. weights: by source value (None for null); those not named get the least share. Empty
     docs give no rows. A source's rows are ranked in many salted parts, so that a hot one is not one task.
     """
     spark = docs.sparkSession
     salts = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hashed = F.xxhash64(order)
-    rows = docs.withColumns({"__mix_key": source_key(source), "__mix_salt": F.pmod(hashed, F.lit(salts))})
+    # of all columns, so that an id that stands on many rows is not one task
+    salt = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({"__mix_key": source_key(source), "__mix_salt": F.pmod(salt, F.lit(salts))})
     parts = rows.groupBy("__mix_key", "__mix_salt").agg(F.count("*").alias("__mix_n"))
     counts = {r[0]: r[1] for r in parts.groupBy("__mix_key").agg(F.sum("__mix_n")).collect()}  # a row for each source
     keyed = None if weights is None else {("null" if k is None else f"={k}"): w for k, w in weights.items()}
