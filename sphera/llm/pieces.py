@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sphera.llm.kernels import slices, table
+from sphera.llm.kernels import fresh, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -219,10 +219,16 @@ class Encoder:
         return self.flat[at], np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum([len(p) for p in numbers])].astype(np.int64)]
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
-    """docs with ids array<int>, n_tokens int and decoded_sha256 of the text that the ids decode to (columns of those names are replaced)."""
+NEW = ("ids", "n_tokens", "decoded_sha256")
+
+
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", new: tuple[str, str, str] = NEW) -> DataFrame:
+    """docs with ids array<int>, n_tokens int and decoded_sha256 of the text that the ids decode to (columns of the names in `new` are replaced).
+
+    Null and empty texts have no ids. Repeated rows stay; an empty table gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))  # its size is the model's
-    kept = docs.drop("ids", "n_tokens", "decoded_sha256")
+    kept = docs.drop(*new)
     names = kept.columns
 
     def run(batches):
@@ -232,9 +238,10 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame
             said, ends = coder.vocabulary.speak(flat, offsets)
             digests = [hashlib.sha256(said[a:b]).hexdigest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.array(np.diff(offsets), pa.int32()), pa.array(digests)], names=[*names, "ids", "n_tokens", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, ids, pa.array(np.diff(offsets), pa.int32()), pa.array(digests)], names=[*names, *new])
 
-    schema = T.StructType([*kept.schema, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("decoded_sha256", T.StringType())])
+    kinds = (T.ArrayType(T.IntegerType()), T.IntegerType(), T.StringType())
+    schema = T.StructType([*kept.schema, *[T.StructField(n, k) for n, k in zip(new, kinds, strict=True)]])
     return kept.mapInArrow(run, schema)
 
 
@@ -264,5 +271,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the documents with their ids."""
-    return encode(docs).drop("decoded_sha256")
+    """Pipeline stage, the last: the documents with ids and n_tokens; where documents has columns of these names, underscores go before the new ones."""
+    new = tuple(fresh(docs, n) for n in NEW)
+    return encode(docs, new=new).drop(new[2])
