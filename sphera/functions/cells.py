@@ -545,11 +545,12 @@ def all_neighbors(df: DataFrame, at: int, cell: str = "cell", out: str = "neighb
     return df.select(*keys, out).distinct()
 
 
-def vertex_neighbors(df: DataFrame, at: int, cell: str = "cell", out: str = "neighbor") -> DataFrame:
+def vertex_neighbors(df: DataFrame, at: Column | int, cell: str = "cell", out: str = "neighbor") -> DataFrame:
     """A row for each cell of level `at` (above the cell's) at the vertex of that level nearest the cell: four, or three at a cube's corner."""
     df = decode(df, cell, "__d")
-    half, size = 1 << (MAX_LEVEL - at - 1), 1 << (MAX_LEVEL - at)
-    move = lambda c: F.when(F.col(c).bitwiseAND(F.lit(half)) != 0, F.lit(size)).otherwise(F.lit(-size)).cast("bigint")
+    df = df.withColumn("__size", size_ij(at))
+    half = F.shiftright("__size", 1)
+    move = lambda c: F.when(F.col(c).bitwiseAND(half) != 0, F.col("__size")).otherwise(-F.col("__size")).cast("bigint")
     df = df.withColumns({"__oi": move("__di"), "__oj": move("__dj")})
     zero = F.lit(0).cast("bigint")
     steps = F.array(*[F.struct(a.alias("sa"), b.alias("sb")) for a, b in ((zero, zero), (F.col("__oi"), zero), (zero, F.col("__oj")), (F.col("__oi"), F.col("__oj")))])
@@ -557,4 +558,4 @@ def vertex_neighbors(df: DataFrame, at: int, cell: str = "cell", out: str = "nei
     off = lambda c: (F.col(c) < 0) | (F.col(c) >= SIZE)
     df = df.where(~(off("__ni") & off("__nj")))
     df = _encode_wrapped(df, "__dface", "__ni", "__nj", "__leaf").withColumn(out, parent(F.col("__leaf"), at))
-    return df.drop("__dface", "__di", "__dj", "__dorientation", "__oi", "__oj", "sa", "sb", "__ni", "__nj", "__leaf")
+    return df.drop("__dface", "__di", "__dj", "__dorientation", "__size", "__oi", "__oj", "sa", "sb", "__ni", "__nj", "__leaf")

@@ -2,8 +2,8 @@
 
 Targets within a radius are found by cells: each query point's cap is covered by the cells of one
 level that it can reach (the vertex neighbours of a cell at least twice as wide as the radius), which is an equi-join with the
-targets' ancestors; the exact distance decides. k nearest doubles the radius for those queries that
-have not k targets yet, so that dense places are never searched wide, and ends with all targets at most.
+targets' ancestors; the exact distance decides. For the k nearest, targets are counted by cell first: each query's radius comes from
+any k targets of the finest cell about it that has so many, so that dense places are searched finely and sparse ones once.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sphera.functions import cells
 from sphera.functions.edges import distance as edge_distance
 from sphera.functions.points import Vec, chord2
+from sphera.operators.joins import with_ancestors
 from sphera.operators.lineage import cut_lineage
 
 
@@ -49,39 +50,64 @@ def _faces() -> list[int]:
     return [i - (1 << 64) if i >= 1 << 63 else i for i in ids]
 
 
-def nearest(queries: DataFrame, targets: DataFrame, k: int, start: float | None = None, q: str = "q_", t: str = "t_", largest: float = math.pi) -> DataFrame:
-    """The k nearest targets of each query (ties by target id) with `d2` and `rank`. queries and targets as in within(), targets with prefix + id.
+def level_for_chord(d2: Column) -> Column:
+    """level_for_radius of the angle of a squared chord, as a column."""
+    radians = 2 * F.asin(F.least(F.lit(1.0), 0.5 * F.sqrt(d2)))
+    return F.when(radians <= 0, 29).otherwise(F.greatest(F.lit(-1), F.least(F.lit(29), F.floor(F.log2(F.lit(cells.MIN_WIDTH.deriv / 2) / radians))))).cast("int")
 
-    start: the first radius; by default one that holds about 4 k targets if they are spread evenly.
+
+#: Levels at which targets are counted.
+_STEPS = tuple(range(0, 30, 3))
+
+
+def _bounds(queries: DataFrame, targets: DataFrame, k: int, q: str, t: str) -> DataFrame:
+    """queries with `__bound`, a squared chord within which each has k targets: the furthest of any k targets of the finest counted cell about it that has so many (4 if there are fewer than k in all).
+
+    Dense places thus get small bounds and sparse ones large ones; of a cell no more than k targets are read.
     """
-    if start is None:
-        n = max(1, targets.count())
-        start = min(largest, 2 * math.sqrt(4.0 * k / n))
+    leaf = F.col(f"{t}cell")
+    up = lambda cell, at: F.when(cells.level(cell) >= at, cells.parent(cell, at))
+    fine = targets.groupBy(cells.parent(leaf, _STEPS[-1]).alias("__c")).agg(F.count("*").alias("__n"))
+    counts = fine.select("__n", F.explode(F.array(*[up(F.col("__c"), at) for at in _STEPS])).alias("__c")).groupBy("__c").agg(F.sum("__n").alias("__n")).where(F.col("__n") >= k).select("__c")
+    path = queries.select(f"{q}id", F.explode(F.array(*[cells.parent(F.col(f"{q}cell"), at) for at in _STEPS])).alias("__c"))
+    home = path.join(counts, "__c", "left_semi").groupBy(f"{q}id").agg(F.max_by("__c", cells.level(F.col("__c"))).alias("__home"))
+    home = cut_lineage(home)
+    levels = [r[0] for r in home.select(cells.level(F.col("__home")).alias("l")).distinct().collect()]  # at most len(_STEPS) numbers
+    wanted = home.select(F.col("__home").alias("__c")).distinct()
+    any_k = Window.partitionBy("__c").orderBy(f"{t}id")
+    near = with_ancestors(targets.select(f"{t}id", *[f"{t}{a}" for a in "xyz"], f"{t}cell"), f"{t}cell", sorted(levels), "__c").join(wanted, "__c", "left_semi")
+    few = near.withColumn("__r", F.row_number().over(any_k)).where(F.col("__r") <= k).select("__c", *[f"{t}{a}" for a in "xyz"])
+    at_home = queries.select(f"{q}id", *[f"{q}{a}" for a in "xyz"]).join(home, f"{q}id").withColumnRenamed("__home", "__c").join(few, "__c")
+    bound = at_home.groupBy(f"{q}id").agg((F.max(chord2(Vec.named(q), Vec.named(t))) * (1 + 1e-12) + 1e-30).alias("__bound"))
+    return queries.join(bound, f"{q}id", "left").withColumn("__bound", F.least(F.lit(4.0), F.coalesce("__bound", F.lit(4.0))))
+
+
+def nearest(queries: DataFrame, targets: DataFrame, k: int, q: str = "q_", t: str = "t_") -> DataFrame:
+    """The k nearest targets of each query (ties by target id) with `d2` and `rank`. queries and targets as in within(), both with prefix + id; query ids are unique.
+
+    Each query gets a bound that holds k targets, then one join by the cells that its bound reaches, on its own level; nothing is searched twice.
+    """
+    bounded = cut_lineage(_bounds(queries, targets, k, q, t).withColumn("__lev", level_for_chord(F.col("__bound"))))
+    levels = [r[0] for r in bounded.select("__lev").distinct().collect()]  # at most 31 numbers
+    reach = cells.vertex_neighbors(bounded.where("__lev >= 1"), F.col("__lev"), f"{q}cell", "__n")
+    if min(levels, default=1) < 1:
+        reach = reach.unionByName(bounded.where("__lev < 1").withColumn("__n", F.explode(F.array(*[F.lit(f) for f in _faces()]))))
+    held = with_ancestors(targets, f"{t}cell", sorted({max(0, at) if at >= 1 else 0 for at in levels}), "__n")
+    found = reach.join(held, "__n").drop("__n", "__lev").withColumn("d2", chord2(Vec.named(q), Vec.named(t))).where(F.col("d2") <= F.col("__bound")).drop("__bound")
     order = Window.partitionBy(f"{q}id").orderBy("d2", f"{t}id")
-    left, out, radius = queries, None, start
-    while True:
-        found = cut_lineage(within(left, targets, radius, q, t).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        if radius >= largest:
-            return found if out is None else out.unionByName(found)
-        full = found.groupBy(f"{q}id").agg(F.count("*").alias("__c")).where(F.col("__c") >= k).select(f"{q}id")
-        done = found.join(full, f"{q}id", "left_semi")
-        out = done if out is None else out.unionByName(done)
-        left = left.join(full, f"{q}id", "left_anti")
-        if left.isEmpty():
-            return out
-        radius = min(largest, 4 * radius)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def farthest(queries: DataFrame, targets: DataFrame, k: int, q: str = "q_", t: str = "t_") -> DataFrame:
     """The k furthest targets of each query: the nearest to its antipode. `d2` is the distance from the query itself."""
     anti = queries.withColumns({f"{q}{a}": -F.col(f"{q}{a}") for a in "xyz"})
     anti = cells.encode(anti.drop(f"{q}cell"), Vec.named(q), f"{q}cell")
-    return nearest(anti, targets, k, None, q, t).withColumns({f"{q}{a}": -F.col(f"{q}{a}") for a in "xyz"}).withColumn("d2", 4 - F.col("d2"))
+    return nearest(anti, targets, k, q, t).withColumns({f"{q}{a}": -F.col(f"{q}{a}") for a in "xyz"}).withColumn("d2", 4 - F.col("d2"))
 
 
 def directed_hausdorff(queries: DataFrame, targets: DataFrame, q: str = "q_", t: str = "t_") -> DataFrame:
     """One row: d2 of the query whose nearest target is furthest, and its id."""
-    return nearest(queries, targets, 1, None, q, t).orderBy(F.desc("d2"), f"{q}id").limit(1).select(f"{q}id", "d2")
+    return nearest(queries, targets, 1, q, t).orderBy(F.desc("d2"), f"{q}id").limit(1).select(f"{q}id", "d2")
 
 
 def angle(d2: Column) -> Column:
