@@ -40,6 +40,11 @@ def _sgn(x) -> int:
     return (x > 0) - (x < 0)
 
 
+def _before(a: Array, b: Array) -> int:
+    """1 if a comes before b by its coordinates, else 0."""
+    return int(a.tolist() < b.tolist())
+
+
 def _signed_square(x: Fraction) -> Fraction:
     return x * abs(x)
 
@@ -92,7 +97,7 @@ def compare_distances(x: Array, a: Array, b: Array) -> Array:
     def settle(i: int) -> int:
         p, q, r = _exact(x[i]), _exact(a[i]), _exact(b[i])
         s = _sgn(_signed_square(_xdot(p, r)) * _xdot(q, q) - _signed_square(_xdot(p, q)) * _xdot(r, r))
-        return s or _sgn((tuple(a[i]) < tuple(b[i])) - (tuple(a[i]) > tuple(b[i])))
+        return s or _sgn(_before(a[i], b[i]) - _before(b[i], a[i]))
 
     return _decide(_dot(x, b) - _dot(x, a), 20 * EPS, settle)
 
@@ -175,7 +180,7 @@ def edge_circumcenter_sign(x0: Array, x1: Array, a: Array, b: Array, c: Array) -
     def settle(i: int) -> int:
         p, q, r = _exact(a[i]), _exact(b[i]), _exact(c[i])
         z = tuple(map(sum, zip(_xcross(p, q), _xcross(q, r), _xcross(r, p), strict=True)))
-        return _sgn(_xdot(_xcross(_exact(x0[i]), _exact(x1[i])), z)) or _sgn((tuple(a[i]) < tuple(b[i])) - 0.5)
+        return _sgn(_xdot(_xcross(_exact(x0[i]), _exact(x1[i])), z)) or _sgn(_before(a[i], b[i]) - 0.5)
 
     return np.where(orient == 0, 0, orient * _decide(_dot(np.cross(x0, x1), z), 40 * EPS, settle)).astype(np.int32)
 
