@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sphera.functions import cells
 from sphera.functions.points import angle_to_km, haversine
-from sphera.plans import cellshapes, codec, edgeplans, formats, indexplans, polygonplans, predicateplans, scalars, shapes, spatial  # noqa: F401  (they register their queries)
+from sphera.plans import cellshapes, codec, edgeplans, formats, indexplans, moreplans, polygonplans, predicateplans, scalars, shapes, spatial  # noqa: F401  (they register their queries)
 from sphera.plans.base import ORACLES, QUERIES, cell_points
 
 
