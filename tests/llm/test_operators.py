@@ -347,11 +347,23 @@ def test_pieces_random_texts():
 # --- 10 -----------------------------------------------------------------------------------------
 
 
+def test_fenwick_ranges():
+    r = random.Random(3)
+    tree, plain = passages.Fenwick(40), [passages._NOTHING] * 41
+    for _ in range(2000):
+        at, value = r.randint(1, 40), r.choice([passages._NOTHING, (r.random(), 1)])
+        tree.set(at, value)
+        plain[at] = value
+        low = r.randint(1, 40)
+        high = r.randint(low - 1, 40)
+        assert tree.largest(low, high) == max(plain[low : high + 1], default=passages._NOTHING)
+
+
 def test_chain_is_best():
     r = random.Random(11)
     for _ in range(30):
-        n = r.randint(2, 9)
-        px, py = np.array([r.randint(0, 40) for _ in range(n)]), np.array([r.randint(0, 40) for _ in range(n)])
+        n = r.randint(2, 60)
+        px, py = np.array([r.randint(0, 120) for _ in range(n)]), np.array([r.randint(0, 120) for _ in range(n)])
         order = sorted(range(n), key=lambda i: (px[i], py[i]))
         best = {}
         for i in order:
@@ -363,7 +375,7 @@ def test_chain_is_best():
         path = passages.chain(px, py)[0]
         score = passages.K + sum(min(passages.K, px[b] - px[a], py[b] - py[a]) - passages.GAP_COST * (px[b] - px[a] + py[b] - py[a]) for a, b in zip(path, path[1:], strict=False))
         assert (np.diff(px[path]) > 0).all() and (np.diff(py[path]) > 0).all()
-        assert score <= max(best.values()) + 1e-9
+        assert math.isclose(score, max(best.values()))
 
 
 def test_passages_found_and_removed(docs, spark, rows):
