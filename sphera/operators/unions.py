@@ -148,17 +148,18 @@ def areas(df: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
 
 
 def cap_bounds(df: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
-    """keys, x, y, z, length2: a cap about the middle of the cells, weighted by area, that holds all their vertices."""
+    """keys, x, y, z, length2: a cap about the middle of the cells, weighted by area, that holds the caps about all of them."""
     from sphera.functions.cellshape import CellShape, with_shape
-    from sphera.functions.points import Vec, chord2
+    from sphera.functions.points import Vec, chord2, chord2_sum
 
     s = CellShape.of("__shape")
     each = with_shape(df.select(*keys, F.col(cell).alias("__c")), "__c", "__shape")
-    each = each.select(*keys, s.average_area().alias("w"), s.mid.struct().alias("m"), F.col("__shape.vertices").alias("v"))
+    # vertices alone are not enough: a cap of over half the sphere may hold them and leave out a part of their cell
+    each = each.select(*keys, s.average_area().alias("w"), s.mid.struct().alias("m"), s.cap_bound().length2.alias("own"))
     mid = each.groupBy(*keys).agg(*[F.sum(F.col("m")[a] * F.col("w")).alias(f"s{a}") for a in "xyz"])
     unit = Vec.named("s").normalized()
     mid = cells.fenced(mid, {"c": F.when(Vec.named("s").norm2() > 1e-20, unit.struct()).otherwise(Vec.lit(1, 0, 0).struct())})
-    far = F.array_max(F.transform("v", lambda p: chord2(Vec.of("c"), Vec.of(p))))
+    far = chord2_sum(chord2(Vec.of("c"), Vec.of("m")), F.col("own"))
     return each.join(mid.select(*keys, "c"), keys).groupBy(*keys, "c").agg(F.max(far).alias("length2")).select(*keys, "c.x", "c.y", "c.z", "length2")
 
 
