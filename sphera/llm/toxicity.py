@@ -104,17 +104,26 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> Words:
     size = finish[at] - begin[at]
     short = np.append(text[_spans(begin[at] - 1, size + 1)], np.uint8(_SPACE))  # each word with the space before it
     rows, count = _subwords(short, np.cumsum(size + 1) - size, key)
-    return Words(word, np.searchsorted(begin, starts + 1), key, rows, np.r_[0, np.cumsum(count)])
+    return Words(word.astype(np.int32), np.searchsorted(begin, starts + 1), key, rows, np.r_[0, np.cumsum(count)])
 
 
 def gathered(parts: list[Words]) -> Words:
-    """Several slices' texts with one numbering of the words."""
-    key, at = np.unique(np.concatenate([p.key for p in parts]), return_index=True)
-    count = np.concatenate([np.diff(p.start) for p in parts])
-    rows = np.concatenate([p.rows for p in parts])
-    word = np.concatenate([np.searchsorted(key, p.key)[p.word] for p in parts]).astype(np.int32)
-    size = np.concatenate([np.diff(p.first) for p in parts])
-    return Words(word, np.r_[0, np.cumsum(size)], key, rows[_spans((np.cumsum(count) - count)[at], count[at])], np.r_[0, np.cumsum(count[at])])
+    """Several slices' texts with one numbering of the words, by where they come first."""
+    keys = np.concatenate([p.key for p in parts])
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    number = np.empty(len(first), np.int32)
+    number[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+    number, first = number[back], np.sort(first)
+    words, rows, count, at = [], [], [], 0
+    for p in parts:  # one at a time, as the rows of a slice are many
+        new = first[(first >= at) & (first < at + len(p.key))] - at
+        size = np.diff(p.start)[new]
+        words.append(number[at : at + len(p.key)][p.word])
+        rows.append(p.rows[_spans(p.start[:-1][new], size)])
+        count.append(size)
+        at += len(p.key)
+    length = np.concatenate([np.diff(p.first) for p in parts])
+    return Words(np.concatenate(words), np.r_[0, np.cumsum(length)], keys[first], np.concatenate(rows), np.r_[0, np.cumsum(np.concatenate(count))])
 
 
 def _windows(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,13 +161,17 @@ def fit(texts: Words, labels: np.ndarray, epochs: int = 20, rate: float = 40.0,
     least = least * np.sqrt(len(labels))
     count = np.diff(texts.start)
     seen = np.bincount(texts.word, minlength=len(texts.key))
-    often = np.bincount(texts.rows, np.repeat(seen, count), BUCKETS)
+    often = np.zeros(BUCKETS)
+    for at in range(0, len(seen), 1 << 14):  # a part of the words at a time
+        to = min(len(seen), at + (1 << 14))
+        often += np.bincount(texts.rows[texts.start[at] : texts.start[to]], np.repeat(seen[at:to], count[at:to]), BUCKETS)
     used = np.flatnonzero(often > 1)
     number = np.full(BUCKETS, -1, np.int32)
     number[used] = np.arange(len(used))
     rows = number[texts.rows]
-    kept = np.r_[0, np.cumsum(rows >= 0)][texts.start]
-    rows = rows[rows >= 0]
+    stays = rows >= 0
+    kept = np.r_[0, np.cumsum(np.add.reduceat(stays, texts.start[:-1], dtype=np.int64))] if len(count) else np.zeros(1, np.int64)
+    rows = rows[stays]
     rng = np.random.default_rng(seed)
     start = rng.normal(0, 0.1, (len(used), DIM)).astype(np.float32)
     emb, total = np.zeros((len(used), DIM), np.float32), np.zeros((len(used), DIM), np.float32)
