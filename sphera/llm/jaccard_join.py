@@ -31,6 +31,7 @@ from sphera.llm.kernels import as_long, cut_lineage, fresh, shingles, slices, ta
 DF_SLOTS = 1 << 20
 _CHUNK = 1 << 14
 PARTS = 64
+_ROWS = 2048  # pairs that the suffix filter looks at together
 U64 = np.uint64
 
 
@@ -157,9 +158,7 @@ def _suffix_filter(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rid_a", "rid_b", "n_a", "n_b", "pos_a", "pos_b", "parts_a", "parts_b")
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             numbers = [batch.column(i).to_numpy().astype(np.int64) for i in range(4, 8)]
             parts = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, PARTS).astype(np.int64) for i in (8, 9)]
             yield batch.select(["a", "b", "rid_a", "rid_b"]).filter(pa.array(suffixes_allow(*numbers, *parts, num, den)))
