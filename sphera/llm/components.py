@@ -28,6 +28,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its least node) for every node of an edge; edges are (a, b) of one orderable type. Loops and repeats don't matter."""
     # the stars read their edges several times, so what makes them is run once and cut off
     now = cut_lineage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    del edges  # and with it the shuffles that made them
     before = None
     while True:
         now = cut_lineage(_small_star(cut_lineage(_large_star(now))))

@@ -13,11 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sphera.operators.lineage import cut_lineage
+from sphera.operators import lineage
 
 __all__ = ["as_long", "cut_lineage", "fresh", "hash_sums", "id_crc", "mix", "range_hash", "shingles", "slices", "table", "text_bytes", "words"]
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U64 = np.uint64
 _MIX_A, _MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -32,6 +32,12 @@ _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """lineage.cut_lineage; first the driver collects its garbage, for what went before keeps its shuffle files and checkpoints on disk until then."""
+    df.sparkSession._jvm.System.gc()
+    return lineage.cut_lineage(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
