@@ -430,6 +430,44 @@ def test_passage_whose_parts_have_other_leaders(spark):
     assert {w for r in found for w in range(r.x_from, r.x_to)} >= set(range(20, 110)) and {r.y for r in found} == {3}
 
 
+def test_passage_whose_seeds_all_have_earlier_leaders(spark):
+    """Two rows share 100 words but for one in 11, and each stretch between changes leads elsewhere."""
+    whole = prose(110, 100).split()
+    parts = [" ".join(whole[a + 1 : a + 11]) for a in range(0, 99, 11)]
+    others = [f"{prose(120 + k, 30)} {part} {prose(140 + k, 30)}" for k, part in enumerate(parts)]
+    changed = [" ".join(f"{tag}{w}" if i % 11 == 0 else w for i, w in enumerate(whole)) for tag in ("yy", "xx")]
+    texts = [*others, f"{prose(160, 30)} {changed[0]} {prose(161, 30)}", f"{prose(162, 20)} {changed[1]} {prose(163, 20)}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3)
+    found = [r for r in passages.passages(df).collect() if r.x == len(texts) - 1]
+    assert {w for r in found for w in range(r.x_from, r.x_to)} >= set(range(21, 119)) and {r.y for r in found} == {len(texts) - 2}
+
+
+def test_passages_of_every_two_different_texts(spark):
+    """Of 12 edited versions every two are found, each of 30 equal texts with the first, and 30 rows with an equal passage hang together."""
+    whole, other = prose(170, 120).split(), prose(171, 80)
+    versions = [" ".join(f"v{k}{w}" if i % 24 == 2 * k % 24 else w for i, w in enumerate(whole)) for k in range(12)]
+    texts = [*versions, *[prose(172, 70)] * 30, *[f"{prose(180 + k, 25)} {other} {prose(220 + k, 25)}" for k in range(30)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3)
+    pairs = {(r.x, r.y) for r in passages.passages(df).collect()}
+    assert pairs >= {(x, y) for x in range(12) for y in range(x)}
+    assert {p for p in pairs if 12 <= p[0] < 42} == {(x, 12) for x in range(13, 42)}
+    assert {p[0] for p in pairs if p[1] >= 42} == set(range(43, 72)) and len({p for p in pairs if p[0] >= 42}) < 29 * 15
+
+
+def test_passages_of_texts_that_repeat_themselves(spark):
+    """Stretches of 2 and 9 words again and again, longer and shorter than before, between shared words: all is found, by few matches."""
+    line, head, tail = prose(260, 9), prose(261, 30), prose(262, 30)
+    texts = [f"{head} {' '.join([unit] * n)} {tail}" for unit, sizes in (("ab cd", (100, 300, 40)), (line, (20, 70, 6))) for n in sizes]
+    df = spark.createDataFrame([(i, f"{prose(270 + i, 12)} {t} {prose(280 + i, 12)}") for i, t in enumerate(texts)], "rid long, text string").coalesce(1)
+    covered = {}
+    for r in passages.passages(df).collect():
+        covered.setdefault(r.x, set()).update(range(r.x_from, r.x_to))
+    for i, t in enumerate(texts):
+        if i in (1, 2, 4, 5):
+            assert covered[i] >= set(range(14, 10 + len(t.split()))), i
+    assert passages.matches(df).selectExpr("sum(size(y)) n").first().n < 5000
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
