@@ -224,6 +224,18 @@ def test_repeats_stage_leaves_other_text_alone(spark, sf_dir, corpus):
     assert len(runs) - len(set(runs)) <= 0.01 * len(runs)
 
 
+def test_repeats_stage_sees_every_earlier_row(spark):
+    """Two documents share 100 words but for one in 11, each stretch between changes stands in an earlier one as well: the later loses them."""
+    r = random.Random(12)
+    whole = prose(r, "aa", 100).split()
+    parts = [" ".join(whole[a + 1 : a + 11]) for a in range(0, 99, 11)]
+    texts = [f"{prose(r, 'bb', 30)} {part} {prose(r, 'bb', 30)}" for part in parts]
+    texts += [" ".join([prose(r, "cc", 30), *(f"{tag}{w}" if i % 11 == 0 else w for i, w in enumerate(whole)), prose(r, "cc", 30)]) for tag in ("yy", "xx")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    left = {r.doc_id: r.text.split() for r in passages.without_repeats(spark, docs, None).collect()}
+    assert len(left[len(texts) - 1]) <= 62 and all(len(left[i]) == len(t.split()) for i, t in enumerate(texts[:-1]))
+
+
 @pytest.mark.parametrize("name", ["op1_simhash", "op2_suffix_dedup", "op3_mixing", "op5_jaccard_join", "op6_media", "op7_langid", "op8_toxicity", "op9_pieces", "op10_passages"])
 def test_queries_on_empty_tables(spark, empty_dir, name):
     assert queries.queries()[name](spark, empty_dir).collect() == []
