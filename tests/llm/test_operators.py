@@ -454,6 +454,47 @@ def test_passages_of_every_two_different_texts(spark):
     assert {p[0] for p in pairs if p[1] >= 42} == set(range(43, 72)) and len({p for p in pairs if p[0] >= 42}) < 29 * 15
 
 
+def test_passages_beyond_the_equal_words_of_a_class(spark):
+    """A passage stands in many rows; the words after it and before it that two later rows share, and the first row has not, are found as well."""
+    whole, before, after = prose(300, 70), prose(301, 6), prose(302, 6)
+    texts = [f"{prose(310 + k, 25)} {before if k in (3, 5) else ''} {whole} {after if k in (2, 5) else ''} {prose(330 + k, 25)}" for k in range(7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3)
+    covered, words = {}, [t.split() for t in texts]
+    for r in passages.passages(df).collect():
+        covered.setdefault(r.x, set()).update(range(r.x_from, r.x_to))
+        if r.identity == 1:
+            assert words[r.x][r.x_from : r.x_to] == words[r.y][r.y_from : r.y_to]
+    assert covered[5] >= set(range(25, 107)) and covered[4] >= set(range(25, 95)) and 0 not in covered
+
+
+def test_alignments_at_once_equal_those_one_by_one():
+    r = np.random.default_rng(7)
+    texts, chains = [], []
+    for _ in range(300):
+        x = r.integers(0, 40, int(r.integers(60, 200)))
+        y = x.copy()
+        y[r.random(len(y)) < r.choice([0.02, 0.1, 0.3])] = 99
+        for _ in range(int(r.integers(0, 3))):
+            y = np.insert(y, int(r.integers(0, len(y))), r.integers(50, 60, int(r.integers(1, 9))))
+        grams = {}
+        for j in range(len(y) - passages.K + 1):
+            grams.setdefault(tuple(y[j : j + passages.K]), j)
+        seeds = np.array([(i, grams[g]) for i in range(0, len(x) - passages.K + 1, 3) if (g := tuple(x[i : i + passages.K])) in grams], np.int64).reshape(-1, 2)
+        for path in passages.chain(seeds[:, 0], seeds[:, 1]) if len(seeds) else []:
+            if len(path) > 1:
+                texts.append((x.astype(np.int32), y.astype(np.int32)))
+                chains.append(passages.segments(seeds[path, 0], seeds[path, 1], np.zeros(1, np.int64))[0])
+    sizes = np.array([[len(x), len(y)] for x, y in texts])
+    of = (np.cumsum(sizes.ravel()) - sizes.ravel()).reshape(-1, 2)
+    first = np.cumsum([len(c) for c in chains]) - [len(c) for c in chains]
+    which, rows = passages.align_many(np.concatenate([t for pair in texts for t in pair]), of[:, 0], sizes[:, 0], of[:, 1], sizes[:, 1], np.concatenate(chains), first)
+    assert len(set(which.tolist())) > 100
+    for k, (pair, parts) in enumerate(zip(texts, chains, strict=True)):
+        plain, got = passages.align(*pair, parts), rows[which == k]
+        assert {w for p in plain for w in range(p[0], p[1])} == {w for p in got for w in range(int(p[0]), int(p[1]))}
+        assert all(min(abs(p - q).max() for q in np.array(plain)) < 1e-9 for p in got)
+
+
 def test_passages_of_texts_that_repeat_themselves(spark):
     """Stretches of 2 and 9 words again and again, longer and shorter than before, between shared words: all is found, by few matches."""
     line, head, tail = prose(260, 9), prose(261, 30), prose(262, 30)
