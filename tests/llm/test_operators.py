@@ -454,6 +454,27 @@ def test_passages_of_every_two_different_texts(spark):
     assert {p[0] for p in pairs if p[1] >= 42} == set(range(43, 72)) and len({p for p in pairs if p[0] >= 42}) < 29 * 15
 
 
+def test_passages_of_many_edited_versions(spark):
+    """Of a group all rows' words are found without matching every two; so are those that two late rows share and whose parts lead to other rows each."""
+    n = 4 * passages.HOT
+    whole = prose(400, 100).split()
+    versions = [" ".join(f"v{k}{w}" if i % 25 == k % 25 else w for i, w in enumerate(whole)) for k in range(n)]
+    lines = [prose(401 + k, 30) for k in range(3)]  # under LEAST words each, in many unrelated rows
+    others = [f"{prose(500 + k, 25)} {line} {prose(1000 + k, 25)}" for k, line in enumerate(lines * passages.HOT)]
+    joined = " ".join(lines)
+    late = [f"{prose(410, 20)} {joined} {prose(411, 20)}", f"{prose(412, 25)} {joined} {prose(413, 25)}"]
+    texts = [*versions, *others, *late]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3)
+    found, covered = passages.passages(df).collect(), {}
+    for r in found:
+        covered.setdefault(r.x, set()).update(range(r.x_from, r.x_to))
+    for k in range(1, n):
+        assert covered[k] >= set(range(12, 88)), k
+    assert covered[len(texts) - 1] >= set(range(25, 115)) and (len(texts) - 1, len(texts) - 2) in {(r.x, r.y) for r in found}
+    assert not set(covered) & set(range(n, len(texts) - 1))
+    assert len(found) < n * n / 5  # every two are n * (n - 1) / 2
+
+
 def test_passages_beyond_the_equal_words_of_a_class(spark):
     """A passage stands in many rows; the words after it and before it that two later rows share, and the first row has not, are found as well."""
     whole, before, after = prose(300, 70), prose(301, 6), prose(302, 6)
