@@ -475,6 +475,25 @@ def test_passages_of_many_edited_versions(spark):
     assert len(found) < n * n / 5  # every two are n * (n - 1) / 2
 
 
+def test_passages_of_many_rows_that_repeat_a_word(spark):
+    """Rows that repeat a word are not matched each with every other; what an earlier one has too is found, also of two late rows that share several short repeats."""
+    n = 2 * passages.HOT
+    long = [50 + k % 7 * 10 for k in range(n)]
+    texts = [f"{prose(500 + k, 25)} {'the ' * long[k]}{prose(700 + k, 25)}" for k in range(n)]
+    texts += [f"{prose(900 + k, 25)} {f'{w} ' * 20}{prose(1100 + k, 25)}" for k, w in enumerate(["aa", "bb", "cc"] * passages.HOT)]  # under LEAST words each
+    texts += [f"{prose(1300 + k, 25)} {'aa ' * 20}{'bb ' * 20}{'cc ' * 20}{prose(1310 + k, 25)}" for k in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "rid long, text string").repartition(3)
+    assert passages._chains(passages.matches(df)).count() < n * n / 4  # every two are n * (n - 1) / 2
+    found, covered = passages.passages(df).collect(), {}
+    for r in found:
+        covered.setdefault(r.x, set()).update(range(r.x_from, r.x_to))
+    for k in range(7, n):
+        assert covered[k] >= set(range(25, 25 + long[k])), k
+    last = len(texts) - 1
+    assert covered[last] >= set(range(25, 85)) and (last, last - 1) in {(r.x, r.y) for r in found}
+    assert not set(covered) & set(range(n, last))
+
+
 def test_passages_beyond_the_equal_words_of_a_class(spark):
     """A passage stands in many rows; the words after it and before it that two later rows share, and the first row has not, are found as well."""
     whole, before, after = prose(300, 70), prose(301, 6), prose(302, 6)
