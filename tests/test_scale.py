@@ -36,3 +36,45 @@ def test_points_are_counted_before_the_join(spark):
     assert sorted(map(tuple, counted.select("id", "n").collect())) == sorted(map(tuple, want.collect()))
     # each cell is in the result once, whatever number of points it has, and neither side goes through the driver
     assert counted.count() == 300 and "BroadcastHashJoin" not in joins_of(counted)
+
+
+def close(a, b):
+    return sum((x - y) ** 2 for x, y in zip(a[1:], b[1:], strict=True))
+
+
+def test_caps_of_own_sizes_find_all_and_little_else(spark):
+    pts, all_p = points(spark, 400, 2, "t_")
+    qs, all_q = points(spark, 12, 3, "q_")
+    size = {i: 0.02 * (i + 1) for i in range(12)}
+    qs = qs.withColumn("r", 0.02 * (F.col("q_id") + 1))
+    found = nearest.within_own(qs, pts, "r").select("q_id", "t_id").collect()
+    got = set(map(tuple, found))
+    assert len(got) == len(found)  # each pair once
+    want = {(q[0], t[0]) for q, t in itertools.product(all_q, all_p) if close(q, t) <= (2 * math.sin(size[q[0]] / 2)) ** 2}
+    assert want and want <= got
+    # cells cover less than three times the caps
+    covered = nearest.cap_cells(qs, F.col("r"), "q_", "k").groupBy("q_id", "r").agg(F.sum(F.pow(F.lit(0.25), c.level(F.col("k")))).alias("a")).collect()
+    assert all(row.a * 4 * math.pi / 6 < 3 * 2 * math.pi * (1 - math.cos(row.r)) for row in covered)
+
+
+def test_within_by_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PLAIN", 0)
+    monkeypatch.setattr(joins, "MOST_PAIRS", 50)
+    pts, all_p = points(spark, 300, 4, "t_", 0.2)
+    qs, all_q = points(spark, 40, 5, "q_", 0.2)
+    for r in (0.003, 0.1, 0.5):
+        for a, b in ((qs, pts), (pts.toDF(*[f"q_{x}" for x in ("id", "x", "y", "z", "cell")]), qs.toDF(*[f"t_{x}" for x in ("id", "x", "y", "z", "cell")]))):
+            one, two = (all_q, all_p) if a is qs else (all_p, all_q)
+            want = sorted((q[0], t[0]) for q, t in itertools.product(one, two) if close(q, t) <= (2 * math.sin(r / 2)) ** 2)
+            assert sorted(map(tuple, nearest.within(a, b, r).select("q_id", "t_id").collect())) == want
+
+
+def test_heavy_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_PAIRS", 1000)
+    left = spark.range(500).select((F.col("id") * 0).alias("k"), F.col("id").alias("a")).unionByName(spark.range(3).select(F.col("id").alias("k"), (F.col("id") + 500).alias("a")))
+    right = spark.range(40).select((F.col("id") % 2).alias("k"), F.col("id").alias("b"))
+    both = joins.balanced_join(left, right, "k")
+    assert both.count() == 501 * 20 + 20 and both.distinct().count() == both.count()
+    assert "BroadcastNestedLoopJoin" not in joins_of(both)
+    most = max(both.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect(), key=lambda r: r["count"])["count"]
+    assert most < 5000  # of 10020 pairs of one key
