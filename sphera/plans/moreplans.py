@@ -12,6 +12,7 @@ from sphera.functions.points import Vec
 from sphera.functions.regions import Cap, Rect
 from sphera.operators import density
 from sphera.operators import edge_tables as et
+from sphera.operators.joins import spread
 from sphera.plans import duck as d_
 from sphera.plans.base import cell_points, d_encode, d_parent, d_points, d_r6, points, query, r6
 from sphera.plans.edgeplans import _STARS, stars
@@ -82,8 +83,12 @@ def cap_union(spark, d):
     """The smallest cap about two: its radius, and whether it holds both."""
     k = F.col("id")
     one, two = Cap.from_angle(Vec.named(), F.lit(0.1) + k % 7 / F.lit(10.0)), Cap.from_angle(Vec(F.col("x2"), F.col("y2"), F.col("z2")), F.lit(0.05) + k % 5 / F.lit(10.0))
-    both = one.union(two)
-    df = c.fenced(pairs(spark, d), {"u": F.struct(both.center.struct().alias("c"), both.length2.alias("l"))})
+    # a step at a time: in one expression each part of the union would be worked out again wherever it is used
+    df = c.fenced(spread(pairs(spark, d), "id"), {"l1": one.length2, "l2": two.length2, "n": one.center.cross(two.center).struct()})
+    one, two = one._replace(length2=F.col("l1")), two._replace(length2=F.col("l2"))
+    df = c.fenced(df, {"s": one.union_sizes(two), "v": Vec.of("n").cross(one.center).struct()})
+    df = c.fenced(df, {"w": Vec.of("v").normalized().struct()})
+    df = c.fenced(df, {"u": one.union_by(two, F.col("s"), Vec.of("w"))})
     u = Cap(Vec.of("u.c"), F.col("u.l") + 1e-9)
     return df.select("id", r6(Cap(Vec.of("u.c"), F.col("u.l")).radius()).alias("radius"), (u.contains(one) & u.contains(two)).alias("holds"))
 
