@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from sphera.functions import cells as c
+from sphera.operators.joins import spread
 from sphera.plans.base import cell_points, d_encode, d_parent, d_points, d_r6, points, query, r6, table
 from sphera.sources import shapecoding as sc
 from sphera.sources import textformat as tf
@@ -54,7 +55,7 @@ def code_strings(spark, d):
 
 
 def _tracks(spark, d):
-    df = points(spark, d, "events", "event_id", "user_id", "ts")
+    df = spread(points(spark, d, "events", "event_id", "user_id", "ts"), "user_id")
     track = F.array_sort(F.collect_list(F.struct("ts", "id", F.array("x", "y", "z").alias("p"))))
     return df.groupBy("user_id").agg(F.transform(track, lambda s: s["p"]).alias("track"))
 
@@ -78,9 +79,9 @@ def code_points_compressed(spark, d):
         return sc.encode_point_vector([center(cell_at(tuple(map(float, p)), 12)) for p in t], sc.COMPACT)
 
     df = _tracks(spark, d).withColumn("b", sc.column(pack, "binary", F.col("track")))
-    n = sc.column(lambda b: len(sc.PackedPoints(b)), "long", F.col("b"))
-    first = sc.column(lambda b: str(signed(cell_at(sc.PackedPoints(b)[0], 12))), "string", F.col("b"))
-    return df.select("user_id", n.alias("n"), first.alias("first"), (F.length("b") < 8 * F.size("track") + 8).alias("small"))
+    read = sc.column(lambda b: [len(p := sc.PackedPoints(b)), signed(cell_at(p[0], 12))], "array<long>", F.col("b"))
+    r = F.col("r")
+    return df.withColumn("r", read).select("user_id", r[0].alias("n"), r[1].cast("string").alias("first"), (F.length("b") < 8 * F.size("track") + 8).alias("small"))
 
 
 @query("code_shapes", f"WITH {_E} SELECT user_id, (3 * count(*) - 1)::BIGINT AS edges, {d_r6('sum(z)')} AS z, 3::BIGINT AS shapes FROM ep GROUP BY user_id")
