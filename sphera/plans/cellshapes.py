@@ -9,6 +9,7 @@ from sphera.functions import cellshape as cs
 from sphera.functions.intervals import Arc, Line
 from sphera.functions.points import Vec
 from sphera.functions.regions import Cap, PlaneRect, Rect
+from sphera.operators.joins import spread
 from sphera.plans import duck as d_
 from sphera.plans.base import cell_points, d_encode, d_points, d_r6, points, query, r6
 
@@ -19,7 +20,7 @@ def shaped(spark, d, level=_LEVEL):
     """Customers with their leaf's ancestor `k` and its shape, and the next customer's point q."""
     df = cell_points(spark, d, "customer", "c_custkey")
     other = df.select((F.col("id") - 1).alias("id"), *[F.col(a).alias(f"q{a}") for a in "xyz"], F.col("cell").alias("qcell"))
-    df = df.join(other, "id").withColumn("k", c.parent(F.col("cell"), level))
+    df = spread(df.join(other, "id"), "id").withColumn("k", c.parent(F.col("cell"), level))
     return cs.with_shape(df, "k")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sphera.operators import builder as bd
 from sphera.operators import polygons as pg
 from sphera.operators import shapes as sh
+from sphera.operators.joins import spread
 from sphera.plans import duck as d_
 from sphera.plans.base import d_encode, d_points, d_r6, points, query, r6, table
 from sphera.plans.edgeplans import _GRID, _STARS, grid, stars
@@ -26,7 +27,7 @@ def _slice(a: int, w: int) -> list[list[tuple]]:
 def slices(spark, d):
     k = F.col("s_suppkey")
     a = (k * 7) % 360
-    return table(spark, d, "supplier").select(k.cast("bigint").alias("id"), a.alias("a"), (10 + k % 40).alias("w"), (a + 5 + (k * 3) % 20).alias("a2"), (10 + (k * 11) % 30).alias("w2"))
+    return spread(table(spark, d, "supplier"), "s_suppkey").select(k.cast("bigint").alias("id"), a.alias("a"), (10 + k % 40).alias("w"), (a + 5 + (k * 3) % 20).alias("a2"), (10 + (k * 11) % 30).alias("w2"))
 
 
 def _of_slices(f, returns: str):
@@ -88,7 +89,7 @@ def buffer_lines(spark, d):
         return [pg.area(pg.buffer(line, math.radians(int(r)), ends=pg.FLAT, side=side)) for side in (pg.BOTH, pg.LEFT, pg.RIGHT)]
 
     k, v = F.col("s_suppkey"), F.col("v")
-    df = table(spark, d, "supplier").select(k.cast("bigint").alias("id"), (10 + k % 40).alias("w"), (1 + k % 5).alias("r"))
+    df = spread(table(spark, d, "supplier"), "s_suppkey").select(k.cast("bigint").alias("id"), (10 + k % 40).alias("w"), (1 + k % 5).alias("r"))
     return df.withColumn("v", sh.apply(run, "array<double>", F.col("w"), F.col("r"))).select("id", *[r6(v[i]).alias(n) for i, n in enumerate(("both", "left_side", "right_side"))])
 
 
@@ -106,7 +107,7 @@ def nested_polygons(spark, d):
         return [pg.area(loops), float(sum(not shell for _, shell, _, _ in nesting)), float(max(depths)), float(pg.last_descendant(depths, 0))]
 
     k, v = F.col("s_suppkey"), F.col("v")
-    df = table(spark, d, "supplier").select(k.cast("bigint").alias("id"), (5 + k % 20).alias("n"), (2 + k % 5).alias("m")).withColumn("v", sh.apply(run, "array<double>", F.col("n"), F.col("m")))
+    df = spread(table(spark, d, "supplier"), "s_suppkey").select(k.cast("bigint").alias("id"), (5 + k % 20).alias("n"), (2 + k % 5).alias("m")).withColumn("v", sh.apply(run, "array<double>", F.col("n"), F.col("m")))
     return df.select("id", r6(v[0]).alias("area"), v[1].cast("bigint").alias("holes"), v[2].cast("bigint").alias("deepest"))
 
 
@@ -122,7 +123,7 @@ def polygon_distances(spark, d):
         return [pg.distance([ring], p), sh.angle(p, v)]
 
     k, v = F.col("s_suppkey"), F.col("v")
-    df = table(spark, d, "supplier").where("s_suppkey % 40 <> 20").select(k.cast("bigint").alias("id"), (10 + k % 40).cast("double").alias("deg")).withColumn("v", sh.apply(run, "array<double>", F.col("deg")))
+    df = spread(table(spark, d, "supplier"), "s_suppkey").where("s_suppkey % 40 <> 20").select(k.cast("bigint").alias("id"), (10 + k % 40).cast("double").alias("deg")).withColumn("v", sh.apply(run, "array<double>", F.col("deg")))
     return df.select("id", r6(v[0]).alias("distance"), r6(v[1]).alias("vertex"))
 
 
@@ -222,7 +223,7 @@ _TRACK = f"WITH {d_points('ep', 'events', 'event_id', 'user_id', 'ts')}, o AS (S
 
 
 def _tracks(spark, d):
-    df = points(spark, d, "events", "event_id", "user_id", "ts")
+    df = spread(points(spark, d, "events", "event_id", "user_id", "ts"), "user_id")
     track = F.array_sort(F.collect_list(F.struct("ts", "id", F.array("x", "y", "z").alias("p"))))
     return df.groupBy("user_id").agg(F.transform(track, lambda s: s["p"]).alias("track"))
 
@@ -281,7 +282,7 @@ def validation_codes(spark, d):
         ][kind]
         return pg.find_error(polygon=polygon) or "OK"
 
-    df = points(spark, d, "customer", "c_custkey")
+    df = spread(points(spark, d, "customer", "c_custkey"), "id")
     return df.select("id", sh.apply(run, "string", F.col("id"), F.col("lat"), F.col("lng")).alias("error"))
 
 
@@ -295,7 +296,7 @@ def snap_levels(spark, d):
         return [float(pg.snap_level(chain)), float(bd.level_for_max_snap_radius(bd.min_snap_radius_for_level(level)))]
 
     v = F.col("v")
-    df = points(spark, d, "supplier", "s_suppkey").withColumn("v", sh.apply(run, "array<double>", F.col("id"), F.col("x"), F.col("y"), F.col("z")))
+    df = spread(points(spark, d, "supplier", "s_suppkey"), "id").withColumn("v", sh.apply(run, "array<double>", F.col("id"), F.col("x"), F.col("y"), F.col("z")))
     return df.select("id", v[0].cast("int").alias("level"), v[1].cast("bigint").alias("needed"))
 
 
@@ -312,5 +313,5 @@ def loop_relations(spark, d):
         return [float(pg.compare_boundary(a, b)), float(pg.contains_nested(a, b))]
 
     v = F.col("v")
-    df = points(spark, d, "supplier", "s_suppkey").withColumn("v", sh.apply(run, "array<double>", F.col("id"), F.col("x"), F.col("y"), F.col("z")))
+    df = spread(points(spark, d, "supplier", "s_suppkey"), "id").withColumn("v", sh.apply(run, "array<double>", F.col("id"), F.col("x"), F.col("y"), F.col("z")))
     return df.select("id", v[0].cast("int").alias("boundary"), (v[1] == 1).alias("nested"))

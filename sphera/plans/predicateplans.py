@@ -8,6 +8,7 @@ from sphera.functions.intervals import Line
 from sphera.functions.points import Vec
 from sphera.functions.regions import PlaneRect
 from sphera.operators import predicates as pr
+from sphera.operators.joins import spread
 from sphera.plans import duck as d_
 from sphera.plans.base import d_encode, d_points, d_r6, points, query, r6
 
@@ -19,7 +20,7 @@ def four(spark, d):
     out = df.select("id", *[F.col(x).alias(f"a{x}") for x in "xyz"])
     for k, p in enumerate("bce", 1):
         out = out.join(df.select((F.col("id") - k).alias("id"), *[F.col(x).alias(f"{p}{x}") for x in "xyz"]), "id")
-    return out
+    return spread(out, "id")
 
 
 def _steps() -> d_.Steps:
@@ -62,7 +63,7 @@ def exact_predicates(spark, d):
 def degenerate_signs(spark, d):
     """Three points of one meridian plane: 0 exactly, but told apart consistently; two equal points give 0."""
     k = F.col("c_custkey").cast("double")
-    df = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").cast("bigint").alias("id"), *[e.alias(n) for n, e in (("ax", F.cos(k)), ("az", F.sin(k)), ("bx", F.cos(k + 1)), ("bz", F.sin(k + 1)), ("cx", F.cos(k + 2)), ("cz", F.sin(k + 2)))])
+    df = spread(spark.read.parquet(f"{d}/customer.parquet"), "c_custkey").select(F.col("c_custkey").cast("bigint").alias("id"), *[e.alias(n) for n, e in (("ax", F.cos(k)), ("az", F.sin(k)), ("bx", F.cos(k + 1)), ("bz", F.sin(k + 1)), ("cx", F.cos(k + 2)), ("cz", F.sin(k + 2)))])
     a, b, p = (Vec(F.col(f"{n}x"), F.lit(0.0), F.col(f"{n}z")) for n in "abc")
     s, t = pr.column(pr.sign, "int", a, b, p), pr.column(pr.sign, "int", b, a, p)
     return df.select("id", pr.column(pr.unperturbed_sign, "int", a, b, p).alias("flat"), (s != 0).alias("told_apart"), (s == -t).alias("antisymmetric"), pr.column(pr.sign, "int", a, a, p).alias("equal"))
@@ -181,7 +182,7 @@ def face_clips(spark, d):
     """An edge cut to the face of its first point, padded, begins at that point's coordinates."""
     df = points(spark, d, "customer", "c_custkey")
     nxt = df.select((F.col("id") - 1).alias("id"), *[F.col(x).alias(f"b{x}") for x in "xyz"])
-    df = df.select("id", *[F.col(x).alias(f"a{x}") for x in "xyz"]).join(nxt, "id").withColumn("face", c.face_of(Vec.named("a")))
+    df = df.select("id", *[F.col(x).alias(f"a{x}") for x in "xyz"]).join(nxt, "id").transform(spread, "id").withColumn("face", c.face_of(Vec.named("a")))
     part = cl.clip_to_face(F.col("face"), Vec.named("a"), Vec.named("b"), 1e-9)
     (u0, v0), _ = cl.clipped_ends(F.col("face"), Vec.named("a"), Vec.named("b"), part)
     return df.where(part.exists()).select("id", r6(u0).alias("u0"), r6(v0).alias("v0"))

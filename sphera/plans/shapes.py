@@ -11,6 +11,7 @@ from sphera.functions import points as p
 from sphera.functions.points import Vec
 from sphera.operators import cover, shapes
 from sphera.operators import edge_tables as et
+from sphera.operators.joins import spread
 from sphera.plans import duck as d_
 from sphera.plans.base import cell_points, d_encode, d_parent, d_points, d_r6, points, query, r6, table
 from sphera.plans.scalars import caps
@@ -72,7 +73,7 @@ def loop_contains(spark, d):
 @query("buffer_point", f"WITH {_S}, k AS (SELECT id, (100 + 50 * (id % 20)) / 6371.01e0 AS r, ceil(pi() / acos(0.99e0)) AS n FROM p), g AS (SELECT *, atan(1 / (tan(pi() / n) * cos(r))) AS h FROM k) SELECT id, {d_r6('n * 2 * h - (n - 2) * pi()')} AS area FROM g")
 def buffer_point(spark, d):
     area = shapes.apply(lambda x, y, z, r: shapes.area(shapes.buffer_point((x, y, z), r)), "double", F.col("x"), F.col("y"), F.col("z"), F.col("r"))
-    return caps(spark, d).select("id", r6(area).alias("area"))
+    return spread(caps(spark, d), "id").select("id", r6(area).alias("area"))
 
 
 @query("buffer_chain")
@@ -138,7 +139,7 @@ def convex_hull(spark, d):
 
 
 def _tracks(spark, d):
-    df = points(spark, d, "events", "event_id", "user_id", "ts")
+    df = spread(points(spark, d, "events", "event_id", "user_id", "ts"), "user_id")
     track = F.array_sort(F.collect_list(F.struct("ts", "id", F.array("x", "y", "z").alias("p"))))
     return df.groupBy("user_id").agg(F.transform(track, lambda s: s["p"]).alias("track"))
 
@@ -178,14 +179,14 @@ def dtw_cost(spark, d):
 @query("cover_cap")
 def cover_cap(spark, d):
     """Coverings of the suppliers' caps by at most 8 cells."""
-    df = caps(spark, d)
+    df = spread(caps(spark, d), "id")
     ids = cover.cover_caps(F.col("x"), F.col("y"), F.col("z"), F.col("r"), max_cells=8)
     return df.select("id", F.posexplode(ids).alias("k", "cell"))
 
 
 @query("interior_cover")
 def interior_cover(spark, d):
-    df = caps(spark, d)
+    df = spread(caps(spark, d), "id")
     ids = cover.cover_caps(F.col("x"), F.col("y"), F.col("z"), F.col("r"), max_cells=8, max_level=8, interior=True)
     return df.select("id", F.posexplode_outer(ids).alias("k", "cell"))
 
@@ -196,11 +197,11 @@ def cover_recall(spark, d):
     from sphera.functions.regions import Cap
     from sphera.operators.joins import cover_join
 
-    df = caps(spark, d)
+    df = spread(caps(spark, d), "id")
     held = df.select(F.col("id").alias("cap"), "r", *[F.col(a).alias(f"q_{a}") for a in "xyz"], F.explode(cover.cover_caps(F.col("x"), F.col("y"), F.col("z"), F.col("r"), max_cells=8)).alias("cover"))
     pts = cell_points(spark, d, "customer", "c_custkey").select(F.col("id").alias("customer"), F.col("cell").alias("leaf"), *[F.col(a).alias(f"t_{a}") for a in "xyz"])
     inside = Cap.from_angle(Vec.named("q_"), F.col("r")).contains_point(Vec.named("t_"))
-    return cover_join(pts, held, "leaf", "cover", ["cap", "customer"], inside).groupBy("cap").agg(F.count("*").alias("n"))
+    return cover_join(pts, held, "leaf", "cover", ["cap"], inside).groupBy("cap").agg(F.count("*").alias("n"))
 
 
 @query("event_cells", f"WITH {d_points('p', 'events', 'event_id', 'ts')}, {d_encode('e', 'p')} SELECT strftime(ts, '%Y-%m-%d') AS start, {d_parent('cell', 2)} AS cell, count(*)::BIGINT AS n FROM e GROUP BY 1, 2")

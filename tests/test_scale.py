@@ -78,3 +78,52 @@ def test_heavy_keys_are_dealt_out(spark, monkeypatch):
     assert "BroadcastNestedLoopJoin" not in joins_of(both)
     most = max(both.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect(), key=lambda r: r["count"])["count"]
     assert most < 5000  # of 10020 pairs of one key
+
+
+def test_covered_regions_meet_a_point_once(spark):
+    pts, _ = points(spark, 200, 6, "t_")
+    leaf = pts.select("t_id", F.col("t_cell").alias("leaf"))
+    # a region whose cells hold one another, and repeat
+    covered = leaf.where("t_id < 20").select((F.col("t_id") % 3).alias("region"), F.explode(F.array(*[c.parent(F.col("leaf"), at) for at in (1, 3, 3, 6)])).alias("k"))
+    got = joins.cover_join(leaf, covered, "leaf", "k", ["region"], F.col("t_id") >= 0).select("region", "t_id")
+    want = joins.points_in_cells(leaf, covered, "leaf", "k").select("region", "t_id").distinct()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def tasks_of(df):
+    """How many of its partitions a table has rows in."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_costly_functions_of_a_row_run_on_all_cores(spark):
+    from sphera.plans import catalogue
+
+    q = catalogue.queries()
+    for name in ("cover_cap", "interior_cover", "nested_polygons", "vertex_crossings", "degenerate_signs", "overlay_areas", "winding_areas", "clip_polylines", "validation_codes", "polyline_layers", "approx_alignment", "code_points_compressed"):
+        df = q[name](spark, "/root/testdata/sf0.001")
+        assert df.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism, name
+
+
+def test_union_of_caps_in_steps(spark):
+    from sphera.functions.regions import Cap
+
+    df, _ = points(spark, 50, 7)
+    one, two = Cap.from_angle(Vec.named(), 0.1 + F.col("id") / 40), Cap(Vec(F.col("z"), F.col("x"), F.col("y")), F.lit(0.3))
+    df = c.fenced(df, {"s": one.union_sizes(two), "w": one.center.cross(two.center).cross(one.center).normalized().struct()})
+    df = c.fenced(df, {"u": one.union_by(two, F.col("s"), Vec.of("w")), "v": F.struct(one.union(two).center.struct().alias("c"), one.union(two).length2.alias("l"))})
+    off = sum((F.abs(F.col(f"u.c.{a}") - F.col(f"v.c.{a}")) for a in "xyz"), F.abs(F.col("u.l") - F.col("v.l")))
+    assert df.agg(F.max(off)).first()[0] < 1e-14
+
+
+def test_level_of_a_centre_by_few_trials(monkeypatch):
+    from sphera.operators.cover import cell_at, center
+    from sphera.sources import shapecoding as sc
+
+    tried = []
+    monkeypatch.setattr(sc, "center", lambda k: tried.append(k) or center(k))
+    r = random.Random(8)
+    for at in range(2, 31):
+        lat, lng = r.uniform(-1.5, 1.5), r.uniform(-3, 3)
+        p = (math.cos(lat) * math.cos(lng), math.cos(lat) * math.sin(lng), math.sin(lat))
+        assert sc._center_level(center(cell_at(p, at))) == at and sc._center_level(p) == -1
+    assert len(tried) < 29 * 9  # not 31 for a point that is none
