@@ -127,3 +127,41 @@ def test_level_of_a_centre_by_few_trials(monkeypatch):
         p = (math.cos(lat) * math.cos(lng), math.cos(lat) * math.sin(lng), math.sin(lat))
         assert sc._center_level(center(cell_at(p, at))) == at and sc._center_level(p) == -1
     assert len(tried) < 29 * 9  # not 31 for a point that is none
+
+
+def loops(spark, n, seed):
+    from sphera.operators import edge_tables as et
+
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lat, lng = math.asin(r.uniform(-1, 1)), r.uniform(-3, 3)
+        at = lambda a, b: (math.cos(b) * math.cos(a), math.sin(b) * math.cos(a), math.sin(a))
+        rows.append((i, 0, [at(lat, lng), at(lat, lng + 0.05), at(lat + 0.05, lng)]))
+    return et.of_loops(spark.createDataFrame(rows, "shape long, chain int, vertices array<struct<x:double,y:double,z:double>>"))
+
+
+def test_index_forgets_shapes_that_have_nothing_to_do_with_a_cell(spark, monkeypatch):
+    from sphera.operators import shape_index as si
+
+    seen = []
+    real = si.cut_lineage
+    monkeypatch.setattr(si, "cut_lineage", lambda df: seen.append((df.columns, real(df))) or seen[-1][1])
+    t = loops(spark, 60, 9)
+    index = si.build(t, 3)
+    states = [df.count() for columns, df in seen if "center" in columns and "edges" not in columns]
+    assert len(states) > 2 and max(states) < 6 * 60
+    pairs = si.crossing_pairs(index).select("l_shape", "l_edge", "r_shape", "r_edge")
+    assert pairs.count() == pairs.distinct().count() > 0
+
+
+def test_squares_of_an_edge_hold_all_of_it(spark):
+    from sphera.operators import shape_index as si
+
+    t = loops(spark, 40, 10).select("shape", "edge", *[f"{p}{a}" for p in "ab" for a in "xyz"])
+    found = si.squares(t, 7, "s").select("*", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("k"))
+    v = Vec(*[F.col(f"a{a}") * (40 - F.col("k")) + F.col(f"b{a}") * F.col("k") for a in "xyz"]).normalized()
+    found = c.decode(c.encode(c.fenced(found, {"v": v.struct()}), Vec.of("v"), "leaf"), "leaf", "d_")
+    own = F.col("d_face") * (1 << 14) + F.shiftright("d_i", 23) * (1 << 7) + F.shiftright("d_j", 23)
+    assert found.where(~F.array_contains("s", own.cast("int"))).isEmpty()
+    assert found.agg(F.max(F.size("s"))).first()[0] < 14
