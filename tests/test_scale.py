@@ -165,3 +165,35 @@ def test_squares_of_an_edge_hold_all_of_it(spark):
     own = F.col("d_face") * (1 << 14) + F.shiftright("d_i", 23) * (1 << 7) + F.shiftright("d_j", 23)
     assert found.where(~F.array_contains("s", own.cast("int"))).isEmpty()
     assert found.agg(F.max(F.size("s"))).first()[0] < 14
+
+
+def test_all_pairs_of_triangles_and_stars(spark):
+    from sphera.operators import edge_distance as ed
+    from sphera.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    q = catalogue.queries()["edge_pairs_closest_points"](spark, d)
+    assert q.count() == 75 * catalogue.queries()["edge_positions"](spark, d).count()
+    a = loops(spark, 6, 11).select((F.col("shape") * 3 + F.col("edge")).alias("q_id"), *[F.col(f"{p}{a}").alias(f"q_{p}{a}") for p in "ab" for a in "xyz"])
+    b = loops(spark, 7, 12).select((F.col("shape") * 3 + F.col("edge")).alias("t_id"), *[F.col(f"{p}{a}").alias(f"t_{p}{a}") for p in "ab" for a in "xyz"])
+    ends = (Vec.named("q_a"), Vec.named("q_b"), Vec.named("t_a"), Vec.named("t_b"))
+    df = c.fenced(ed.with_closest_points(a.crossJoin(b)), {"d": ed.edge_pair(*ends)})
+    p, n = Vec.of("near.p"), Vec.of("near.q")
+    assert df.agg(F.max(F.abs(F.sqrt(p.minus(n).norm2()) - 2 * F.sin(F.col("d") / 2)))).first()[0] < 1e-9
+
+
+def test_sums_beyond_a_bigint_and_full_spheres(spark, tmp_path):
+    from sphera.plans import catalogue
+
+    spark.range(3000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(100000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    row = catalogue.queries()["cell_index_ranges"](spark, str(tmp_path)).first()
+    assert row.weighted is None and row.leaves == 6 * 4**30 and 0 < row.covered < row.leaves
+    row = catalogue.queries()["union_expanded"](spark, str(tmp_path)).first()
+    assert row.own == 6 * 4**5 and row.grows
+
+
+def test_a_point_beside_a_centre_is_none(spark):
+    rows = [(0, 6e-17, 0.0, -1.0), (1, 0.0, 0.0, -1.0)]
+    df = c.face_siti(spark.createDataFrame(rows, "id int, x double, y double, z double"), Vec.named())
+    assert [r.level for r in df.orderBy("id").collect()] == [-1, 0]
