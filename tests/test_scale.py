@@ -197,3 +197,29 @@ def test_a_point_beside_a_centre_is_none(spark):
     rows = [(0, 6e-17, 0.0, -1.0), (1, 0.0, 0.0, -1.0)]
     df = c.face_siti(spark.createDataFrame(rows, "id int, x double, y double, z double"), Vec.named())
     assert [r.level for r in df.orderBy("id").collect()] == [-1, 0]
+
+
+def test_cells_are_measured_once_whatever_number_of_ids_they_have(spark, monkeypatch):
+    from sphera.operators import cellindex as ci
+    from sphera.operators import edge_distance as ed
+
+    seen = []
+    real = ed.within
+    monkeypatch.setattr(ed, "within", lambda q, t, *more: seen.append((q.count(), t.count())) or real(q, t, *more))
+    pts, _ = points(spark, 60, 13)
+    cell = c.parent(F.col("cell"), 3)
+    many = pts.crossJoin(spark.range(5).withColumnRenamed("id", "n")).select((F.col("id") * 5 + F.col("n")).alias("id"), cell.alias("k"))
+    a, b = many.select(F.col("id").alias("aid"), F.col("k").alias("acell")), many.select(F.col("id").alias("bid"), F.col("k").alias("bcell"))
+    found = ci.tolerant_join(a, b, 0.05)
+    distinct = many.select("k").distinct().count()
+    assert seen == [(4 * distinct, 4 * distinct)]
+    n = found.count()
+    assert n == found.distinct().count() and n % 25 == 0 and found.where("aid = bid").count() == 300
+    # the k closest labels of cells that have many
+    index = many.select(F.col("k").alias("cell"), F.col("id").alias("label"))
+    q = ed.point_targets(pts.where("id < 5").select("id", *[F.col(x) for x in "xyz"]))
+    got = ci.closest_cells(q, index, 7).select("q_id", "t_id", "rank").collect()
+    want = ci.closest_cells_brute_force(q, index, 7).select("q_id", "t_id", "rank").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    labels = ci.intersecting_labels(index, many.select("id", "k"), "k", "id")
+    assert labels.count() == labels.distinct().count() == many.join(index, F.col("k") == F.col("cell")).count()
