@@ -17,11 +17,15 @@ _LEVEL = 5
 
 
 def shaped(spark, d, level=_LEVEL):
-    """Customers with their leaf's ancestor `k` and its shape, and the next customer's point q."""
+    """in_cells with the shape of `k`."""
+    return cs.with_shape(in_cells(spark, d, level), "k")
+
+
+def in_cells(spark, d, level=_LEVEL):
+    """Customers with their leaf's ancestor `k`, and the next customer's point q."""
     df = cell_points(spark, d, "customer", "c_custkey")
     other = df.select((F.col("id") - 1).alias("id"), *[F.col(a).alias(f"q{a}") for a in "xyz"], F.col("cell").alias("qcell"))
-    df = spread(df.join(other, "id"), "id").withColumn("k", c.parent(F.col("cell"), level))
-    return cs.with_shape(df, "k")
+    return spread(df.join(other, "id"), "id").withColumn("k", c.parent(F.col("cell"), level))
 
 
 def _sql(level=_LEVEL) -> d_.Steps:

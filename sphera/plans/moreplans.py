@@ -106,7 +106,7 @@ def shape_kinds(spark, d):
     """Each user's events as points, as a track and as a loop: edges, chains and vertices."""
     df = points(spark, d, "events", "event_id", "user_id", "ts")
     more = df.groupBy("user_id").agg(F.count("*").alias("n")).where("n > 1").select("user_id")
-    df = df.join(more, "user_id")
+    df = spread(df.join(more, "user_id"), "user_id")
     chains = df.groupBy(F.col("user_id").alias("shape"), F.lit(0).alias("chain")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "x", "y", "z"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["z"].alias("z"))).alias("vertices"))
     kinds = (et.of_points(df.select(F.col("user_id").alias("shape"), "x", "y", "z")), et.of_tracks(df, "user_id", "ts", "id"), et.of_loops(chains))
     out = None

@@ -223,3 +223,16 @@ def test_cells_are_measured_once_whatever_number_of_ids_they_have(spark, monkeyp
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     labels = ci.intersecting_labels(index, many.select("id", "k"), "k", "id")
     assert labels.count() == labels.distinct().count() == many.join(index, F.col("k") == F.col("cell")).count()
+
+
+def test_bounds_look_at_each_cell_once(spark, monkeypatch):
+    from sphera.operators import unions
+    from sphera.plans import catalogue
+
+    seen = []
+    for name in ("rect_bounds", "cap_bounds"):
+        real = getattr(unions, name)
+        monkeypatch.setattr(unions, name, lambda u, keys, real=real: seen.append((u.count(), u.distinct().count())) or real(u, keys))
+    got = catalogue.queries()["union_bounds"](spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == 7 and all(r.holds for r in got)
+    assert len(seen) == 2 and all(a == b for a, b in seen)
